@@ -97,29 +97,51 @@ def _past_hot(df, key, value, row_id, windows, bucket_seconds):
     return df.join(prefix.groupBy(row_id).agg(*aggs), row_id)
 
 
-def strict_past(
+def past_features(
     df: DataFrame,
     key: str,
     ts: str,
     value: str,
     row_id: str,
     windows: list[PastWindow],
+    unseen: dict[str, tuple[str, int]] | None = None,
     hot_rows: int = HOT_KEY_ROWS,
     bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """Add one column per window; ``value`` must be decimal or integral and ``row_id`` unique."""
-    _check_exact(df, value)
-    kind = df.schema[value].dataType
-    wide = T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else T.LongType()
+    """Add one column per window and one flag per ``unseen`` entry.
+
+    ``unseen`` is {flag: (column, seconds)}: true when the column's value did not
+    occur for the key in ``[t - seconds, t)``. ``value`` must be decimal or
+    integral and ``row_id`` unique. The rows are split into ordinary and hot keys
+    once; the ordinary ones are shuffled once, by key, for all windows and flags.
+    """
+    unseen = unseen or {}
+    if windows:
+        _check_exact(df, value)
     timed = df.withColumn("_us", micros(ts))
     cold, hot = split_hot(timed, [key], hot_rows)
-    parts = [_past_cold(cold, key, value, windows), _past_hot(hot, key, value, row_id, windows, bucket_seconds)]
-    names = [*df.columns, *[w.name for w in windows]]
-    cast = [
-        *[F.col(c) for c in df.columns],
-        *[F.col(w.name).cast("long" if w.agg == "count" else wide).alias(w.name) for w in windows],
-    ]
-    return parts[0].select(*cast).unionByName(parts[1].select(*cast)).select(*names)
+    if windows:
+        cold = _past_cold(cold, key, value, windows)
+        hot = _past_hot(hot, key, value, row_id, windows, bucket_seconds)
+    cold = _unseen(cold, key, unseen, None)
+    hot = _unseen(hot, key, unseen, bucket_seconds)
+    wide = {w.name: _total_type(df, value, w) for w in windows}
+    out = [*[F.col(c) for c in df.columns], *[F.col(n).cast(t).alias(n) for n, t in wide.items()], *[F.col(f) for f in unseen]]
+    return cold.select(*out).unionByName(hot.select(*out))
+
+
+def _total_type(df: DataFrame, value: str, window: PastWindow):
+    kind = df.schema[value].dataType
+    if window.agg == "sum" and isinstance(kind, T.DecimalType):
+        return T.DecimalType(38, kind.scale)
+    return T.LongType()
+
+
+def _unseen(rows: DataFrame, key: str, unseen: dict[str, tuple[str, int]], bucket_seconds: int | None) -> DataFrame:
+    for flag, (column, seconds) in unseen.items():
+        fresh = F.col("_prev").isNull() | (F.col("_prev") < F.col("_us") - seconds * MICROS)
+        rows = previous_time(rows, [key, column], bucket_seconds).withColumn(flag, fresh).drop("_prev")
+    return rows
 
 
 def previous_time(df: DataFrame, keys: list[str], bucket_seconds: int | None = None) -> DataFrame:
@@ -145,27 +167,6 @@ def previous_time(df: DataFrame, keys: list[str], bucket_seconds: int | None = N
     )
 
 
-def unseen_within(
-    df: DataFrame,
-    key: str,
-    values: dict[str, str],
-    ts: str,
-    seconds: int,
-    hot_rows: int = HOT_KEY_ROWS,
-    bucket_seconds: int = BUCKET_SECONDS,
-) -> DataFrame:
-    """For each ``{flag: column}``: true when the value did not occur for the key in ``[t - seconds, t)``."""
-    timed = df.withColumn("_us", micros(ts))
-    parts = []
-    for rows, bucket in zip(split_hot(timed, [key], hot_rows), (None, bucket_seconds)):
-        for flag, column in values.items():
-            rows = previous_time(rows, [key, column], bucket).withColumn(
-                flag, F.col("_prev").isNull() | (F.col("_prev") < F.col("_us") - seconds * MICROS)
-            ).drop("_prev")
-        parts.append(rows.select(*df.columns, *values))
-    return parts[0].unionByName(parts[1])
-
-
 def next_within(
     df: DataFrame,
     key: str,
