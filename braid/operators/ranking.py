@@ -118,8 +118,17 @@ def _pick(values: DataFrame, at: DataFrame) -> DataFrame:
 def quantile_cont(df: DataFrame, column: str, q: float, name: str = "q") -> DataFrame:
     """One row: the exact continuous quantile, interpolated between the two nearest values."""
     pos = (F.col("n") - 1) * F.lit(q)
-    ends = order_statistics(df, column, {"v0": F.floor(pos), "v1": F.ceil(pos)})
-    return ends.select((F.col("v0") + (F.col("v1") - F.col("v0")) * (pos - F.floor(pos))).alias(name))
+    lower = order_statistics(df, column, {"v0": F.floor(pos)}).select(F.struct("n", "v0")).scalar()
+    # The next value is the same one when it repeats, otherwise the smallest greater value.
+    at = df.select(F.col(column).cast("double").alias("v")).filter("v is not null").withColumn("s", lower)
+    ends = at.agg(
+        F.max("s.n").alias("n"),
+        F.max("s.v0").alias("v0"),
+        F.count_if(F.col("v") <= F.col("s.v0")).alias("upto"),
+        F.min(F.when(F.col("v") > F.col("s.v0"), F.col("v"))).alias("above"),
+    )
+    v1 = F.when(F.col("upto") > F.ceil(pos), F.col("v0")).otherwise(F.col("above"))
+    return ends.select((F.col("v0") + (v1 - F.col("v0")) * (pos - F.floor(pos))).alias(name))
 
 
 def upper_median(df: DataFrame, column: str, name: str = "median") -> DataFrame:
