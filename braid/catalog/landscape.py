@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from braid.catalog import trial_frames as T
 from braid.catalog.base import query, with_ctes
 from braid.operators import shares
-from braid.operators.ranking import quantile_cont
 from braid.operators.rules import apply_filter
 from braid.plans import boards, report, resolution, semantic
 
@@ -90,15 +89,13 @@ def winsorise_p99(spark, sf):
 
 
 @query(
-    "quantiles_by_priority",
-    "SELECT round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.99), 6) AS p99 FROM orders",
+    "enrolment_over_p99",
+    with_ctes(T.TRIALS, _ENROL) + "SELECT nct_id, enrollment_raw, enrollment AS p99 FROM enrol WHERE enrollment_raw > enrollment",
 )
-def quantiles_by_priority(spark, sf):
-    from braid.session import read_table
-
-    orders = read_table(spark, sf, "orders")
-    half = quantile_cont(orders, "o_totalprice", 0.5, "p50")
-    return half.withColumn("p99", F.round(quantile_cont(orders, "o_totalprice", 0.99).scalar(), 6)).withColumn("p50", F.round("p50", 6))
+def enrolment_over_p99(spark, sf):
+    """Trials whose stated enrolment lies above the cap."""
+    rows = boards.v_enrol(T.trials(spark, sf)).filter(F.col("enrollment_raw") > F.col("enrollment"))
+    return rows.select("nct_id", "enrollment_raw", F.col("enrollment").alias("p99"))
 
 
 _FOOT = """foot AS (SELECT nct_id, CAST(count(DISTINCT region) AS BIGINT) AS regions, CAST(count(DISTINCT country) AS BIGINT) AS countries

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -54,83 +57,59 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank", partitio
     return placed.join(F.broadcast(offsets), "_part").withColumn(rank, local + F.col("_off")).drop("_part", "_off")
 
 
-def order_statistics(df: DataFrame, column: str, ranks: dict[str, Column], bins: int = 1024, levels: int = 2) -> DataFrame:
-    """One row with the exact values at 0-based ``ranks`` of the non-null values of ``column``.
+# Values left when the search for a rank stops narrowing and sorts them in one task.
+SORTABLE = 65_536
+BINS = 1_024
 
-    Each rank is an expression over ``n``, the number of values. The range is cut
-    into equal bins ``levels`` times, every time keeping only the bin that holds
-    the rank, so that the last sort sees about ``rows / bins ** levels`` values.
-    All counts are pre-aggregated; only bin tables of at most ``bins`` rows are
-    sorted in one task.
-    """
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
-    bounds = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    out = bounds.select("n")
-    for name, rank in ranks.items():
-        at = bounds.select("lo", "hi", F.lit(0).cast("long").alias("below"), rank.cast("long").alias("k"))
-        for _ in range(levels):
-            at = _narrow(values, at, bins)
-        out = out.withColumn(name, _pick(values, at).scalar())
-    return out
-
-
-def _inside(values: DataFrame, at: DataFrame) -> DataFrame:
-    """Values between ``lo`` and ``hi``; the one row of ``at`` arrives as a scalar subquery."""
-    return values.withColumn("at", at.select(F.struct("lo", "hi", "below", "k")).scalar()).filter(
-        (F.col("v") >= F.col("at.lo")) & (F.col("v") <= F.col("at.hi"))
-    )
 
+def order_statistic(df: DataFrame, column: str, rank: Callable[[int], int]) -> tuple[int, float | None]:
+    """(number of non-null values, the exact value at 0-based ``rank(n)``).
 
-def _holding_rank(counts: DataFrame, order: str) -> DataFrame:
+    The range of the values is cut into equal bins and only the bin that holds
+    the rank is kept, again and again, until at most ``SORTABLE`` values are left.
+    Every round is one pre-aggregated count that returns a single row; its bounds
+    are literals, so the next round skips data outside them while reading.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    n, lo, hi = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return 0, None
+    k, below, left = rank(n), 0, n
+    while lo < hi and left > SORTABLE:
+        width = (hi - lo) / BINS
+        place = F.least(F.floor((F.col("v") - lo) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        inside = values.filter(F.col("v").between(lo, hi))
+        bins = inside.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        lo, hi, below, left = _holding_rank(bins, "b", below, k).select("lo", "hi", F.col("upto") - F.col("n"), "n").first()
+    if lo < hi:
+        counts = values.filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        lo = _holding_rank(counts, "v", below, k).select("v").first()[0]
+    return n, lo
+
+
+def _holding_rank(counts: DataFrame, order: str, below: int, k: int) -> DataFrame:
+    """The row of a bounded count table whose running total reaches rank ``k``."""
     running = F.sum("n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return counts.withColumn("upto", F.col("below0") + running).filter(
-        (F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n"))
+    return counts.withColumn("upto", running + F.lit(below)).filter(
+        (F.lit(k) < F.col("upto")) & (F.lit(k) >= F.col("upto") - F.col("n"))
     )
 
 
-def _narrow(values: DataFrame, at: DataFrame, bins: int) -> DataFrame:
-    """Shrink (lo, hi) to the extent of the bin that holds rank ``k``."""
-    span = F.col("at.hi") - F.col("at.lo")
-    place = F.floor((F.col("v") - F.col("at.lo")) / F.when(span > 0, span) * bins)
-    counts = (
-        _inside(values, at)
-        .groupBy(F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).alias("b"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
-            F.max("at.below").alias("below0"),
-            F.max("at.k").alias("k"),
-        )
-    )
-    return _holding_rank(counts, "b").select("lo", "hi", (F.col("upto") - F.col("n")).alias("below"), "k")
-
-
-def _pick(values: DataFrame, at: DataFrame) -> DataFrame:
-    counts = (
-        _inside(values, at)
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("at.below").alias("below0"), F.max("at.k").alias("k"))
-    )
-    return _holding_rank(counts, "v").select("v")
-
-
-def quantile_cont(df: DataFrame, column: str, q: float, name: str = "q") -> DataFrame:
-    """One row: the exact continuous quantile, interpolated between the two nearest values."""
-    pos = (F.col("n") - 1) * F.lit(q)
-    lower = order_statistics(df, column, {"v0": F.floor(pos)}).select(F.struct("n", "v0")).scalar()
+def quantile_cont(df: DataFrame, column: str, q: float) -> float | None:
+    """The exact continuous quantile, interpolated between the two nearest values; None without values."""
+    n, v0 = order_statistic(df, column, lambda size: math.floor((size - 1) * q))
+    if not n:
+        return None
+    pos = (n - 1) * q
+    if pos == math.floor(pos):
+        return v0
     # The next value is the same one when it repeats, otherwise the smallest greater value.
-    at = df.select(F.col(column).cast("double").alias("v")).filter("v is not null").withColumn("s", lower)
-    ends = at.agg(
-        F.max("s.n").alias("n"),
-        F.max("s.v0").alias("v0"),
-        F.count_if(F.col("v") <= F.col("s.v0")).alias("upto"),
-        F.min(F.when(F.col("v") > F.col("s.v0"), F.col("v"))).alias("above"),
-    )
-    v1 = F.when(F.col("upto") > F.ceil(pos), F.col("v0")).otherwise(F.col("above"))
-    return ends.select((F.col("v0") + (v1 - F.col("v0")) * (pos - F.floor(pos))).alias(name))
+    v = F.col(column).cast("double")
+    upto, above = df.agg(F.count_if(v <= F.lit(v0)), F.min(F.when(v > F.lit(v0), v))).first()
+    v1 = v0 if upto > math.ceil(pos) else above
+    return v0 + (v1 - v0) * (pos - math.floor(pos))
 
 
-def upper_median(df: DataFrame, column: str, name: str = "median") -> DataFrame:
-    """One row: the value at position n // 2 of the sorted values."""
-    return order_statistics(df, column, {name: F.floor(F.col("n") / 2)}).select(name)
+def upper_median(df: DataFrame, column: str) -> float | None:
+    """The value at position n // 2 of the sorted values."""
+    return order_statistic(df, column, lambda n: n // 2)[1]

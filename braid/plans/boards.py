@@ -22,7 +22,7 @@ def v_burden(chunks: DataFrame) -> DataFrame:
 
 def v_enrol(trials: DataFrame, q: float = 0.99) -> DataFrame:
     """Enrolment capped at its exact quantile, the raw value beside it."""
-    limit = quantile_cont(trials, "enrollment", q).scalar()
+    limit = F.lit(quantile_cont(trials, "enrollment", q)).cast("double")
     return trials.select(
         "nct_id",
         F.col("enrollment").alias("enrollment_raw"),

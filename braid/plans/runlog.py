@@ -17,7 +17,7 @@ def latency_summary(runs: DataFrame) -> DataFrame:
     rows = events(runs).select(
         F.nullif(F.col("total_ms"), F.lit(0.0)).alias("total_ms"), F.nullif(F.col("analytics_ms"), F.lit(0.0)).alias("analytics_ms")
     )
-    middle = upper_median(rows, "total_ms").scalar()
+    middle = F.lit(upper_median(rows, "total_ms")).cast("double")
     return rows.agg(
         F.count(F.lit(1)).alias("runs"),
         F.min("total_ms").alias("min_ms"),
