@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braid.functions.binding import let
+
 # Headings, inline headings and bullets as they occur in the registry (fixed values).
 HEADING = r"(?iuU)^\s*(?:key\s+|main\s+|patient\s+|subject\s+)?(inclusion|exclusion)\s*(?:criteria)?\s*[:\-–]?\s*$"
 INLINE = r"(?iuU)(?:key\s+|main\s+)?(inclusion|exclusion)\s+criteria\s*[:\-–]"
@@ -38,7 +40,9 @@ def criteria(text: Column) -> Column:
     whole = F.concat(F.lit(NO_SECTION + _CRITERION), F.array_join(marked, ""))
 
     def cut(section: Column) -> Column:
-        parts = F.split(section, _CRITERION, -1)
+        return let(F.split(section, _CRITERION, -1), criteria_of)
+
+    def criteria_of(parts: Column) -> Column:
         texts = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " ")))
         kept = F.filter(texts, lambda t: F.length(t) >= SHORTEST)
         return F.transform(kept, lambda t: F.struct(parts[0].alias("criterion_section"), t.alias("chunk_text")))

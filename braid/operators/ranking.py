@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from braid.session import ensure_checkpoint_dir
+from braid.session import settle
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -41,14 +41,13 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
 def global_rank(df: DataFrame, order: list[Column], rank: str = "rank", partitions: int | None = None) -> DataFrame:
     """Exact row_number over the whole set; ``order`` must end in a unique column.
 
-    Rows are range-partitioned on the full order, and the partition number is
-    fixed by a reliable checkpoint. Each partition is then numbered by itself and
-    shifted by the sizes of the partitions before it.
+    Rows are range-partitioned on the full order and written with their partition
+    number, which fixes it. Each partition is then numbered by itself and shifted
+    by the sizes of the partitions before it.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    placed = settle(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "rank")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: a table of at most n rows.
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -57,6 +57,13 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write the rows to a table in the shared folder and go on from there.
+
+    The lineage ends at files that outlive any executor, and whatever follows reads
+    the rows instead of computing them again.
+    """
+    spark = df.sparkSession
+    path = run_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -50,10 +50,8 @@ def current(spark: SparkSession, root: str, schema: T.StructType | None = None)
 
 # ------------------------------------------------------------------- run log
 
-RUN = T.StructType.fromDDL(
-    """kind STRING, label STRING, txn_id STRING, verdict STRING, score DOUBLE, kafka_offset BIGINT, total_ms DOUBLE,
-       analytics_ms DOUBLE, hops MAP<STRING, DOUBLE>, features MAP<STRING, STRING>, at STRING"""
-)
+RUN = """kind STRING, label STRING, txn_id STRING, verdict STRING, score DOUBLE, kafka_offset BIGINT, total_ms DOUBLE,
+         analytics_ms DOUBLE, hops MAP<STRING, DOUBLE>, features MAP<STRING, STRING>, at STRING"""
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

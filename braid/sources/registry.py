@@ -6,14 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from braid.functions import scalars as S
 from braid.functions.chunks import chunk_rows
 from braid.operators.ranking import first_by_key
 
-STUDY_DDL = """
-protocolSection STRUCT<
+_PROTOCOL = """STRUCT<
   identificationModule: STRUCT<nctId: STRING, briefTitle: STRING>,
   statusModule: STRUCT<overallStatus: STRING, startDateStruct: STRUCT<date: STRING>>,
   designModule: STRUCT<studyType: STRING, phases: ARRAY<STRING>, enrollmentInfo: STRUCT<count: BIGINT>>,
@@ -24,10 +22,8 @@ protocolSection STRUCT<
                          secondaryOutcomes: ARRAY<STRUCT<measure: STRING, timeFrame: STRING>>>,
   armsInterventionsModule: STRUCT<armGroups: ARRAY<STRUCT<type: STRING, label: STRING>>,
                                   interventions: ARRAY<STRUCT<type: STRING, name: STRING>>>,
-  contactsLocationsModule: STRUCT<locations: ARRAY<STRUCT<country: STRING>>>>,
-_indication STRING
-"""
-STUDY = T.StructType.fromDDL(STUDY_DDL)
+  contactsLocationsModule: STRUCT<locations: ARRAY<STRUCT<country: STRING>>>>"""
+STUDY = f"protocolSection {_PROTOCOL}, _indication STRING"
 
 _P = "protocolSection."
 
@@ -39,13 +35,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """A whole snapshot document ``{_meta, studies: [...]}``, compressed or not; one task per file."""
-    whole = T.StructType([T.StructField("studies", T.ArrayType(STUDY))])
+    whole = f"studies ARRAY<STRUCT<protocolSection: {_PROTOCOL}, _indication: STRING>>"
     return spark.read.schema(whole).option("multiLine", True).json(path).select(F.inline("studies"))
 
 
 def parse(raw: DataFrame, column: str) -> DataFrame:
     """Studies from a string column of JSON."""
-    return raw.select(F.from_json(column, STUDY_DDL).alias("s")).select("s.*")
+    return raw.select(F.from_json(column, STUDY).alias("s")).select("s.*")
 
 
 def study_key() -> Column:
