@@ -8,7 +8,7 @@ from braid.catalog.base import ORACLES, QUERIES
 def load() -> tuple[dict, dict]:
     """Import every query module and return (queries, oracle SQL)."""
     from braid.catalog import (  # noqa: F401
-        ingest, landscape, payments, retrieval,
+        changes, governance, ingest, landscape, payments, retrieval, routing, streams,
     )
 
     return QUERIES, ORACLES
