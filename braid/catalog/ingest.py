@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from braid.catalog.base import query, with_ctes
 from braid.functions.chunks import chunk_rows
 from braid.plans import runlog
-from braid.session import read_table, run_dir
+from braid.session import read_table, run_dir, spread
 from braid.sources import articles, files, registry
 
 _PHASES = ["", "NA", "PHASE1", "PHASE2", "PHASE3|PHASE2", "EARLY_PHASE1"]
@@ -31,7 +31,7 @@ def eligibility(text):
 
 def raw_studies(spark, sf):
     """One JSON study per document, built inside the document's row."""
-    doc = read_table(spark, sf, "documents")
+    doc = spread(read_table(spark, sf, "documents"))
     n, text = F.col("n_chars"), F.col("text")
     lines = F.split(text, "\n", -1)
     phase = _choose(_PHASES, n)
@@ -146,7 +146,7 @@ CHUNK_CTES = (
 
 
 def document_chunks(spark, sf):
-    docs = read_table(spark, sf, "documents").select("doc_id", eligibility(F.col("text")).alias("elig"))
+    docs = spread(read_table(spark, sf, "documents")).select("doc_id", eligibility(F.col("text")).alias("elig"))
     return chunk_rows(docs, "doc_id", "elig")
 
 
@@ -267,7 +267,7 @@ def linkage_rate(spark, sf):
 @query("csv_roundtrip", "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
 def csv_roundtrip(spark, sf):
     """Whole texts with line breaks through delimited text and back."""
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents"))
     path = run_dir(spark, "csv")
     files.write_csv(docs, path)
     return files.read_csv(spark, path, docs.schema, multi_line=True)

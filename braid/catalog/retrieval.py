@@ -13,7 +13,7 @@ from braid.operators.shares import term_set_diff
 from braid.plans import evaluation as E
 from braid.plans import lsa
 from braid.plans import retrieval as R
-from braid.session import read_table, run_dir
+from braid.session import read_table, run_dir, spread
 
 KEY = ["doc_id", "chunk_id"]
 K = 20
@@ -22,7 +22,7 @@ K = 20
 def corpus(spark, sf):
     """Every document as one chunk, its section read off the language."""
     section = F.when(F.col("lang") == "en", "INCLUSION").when(F.col("lang") == "fr", "EXCLUSION").otherwise("UNKNOWN")
-    return read_table(spark, sf, "documents").select(
+    return spread(read_table(spark, sf, "documents")).select(
         "doc_id", F.lit(0).alias("chunk_id"), section.alias("criterion_section"), F.col("text").alias("chunk_text"), "lang"
     )
 
@@ -228,7 +228,7 @@ def gold(spark, sf):
         return df.select(key, F.explode(F.array_distinct(F.filter(parts, lambda s: F.length(s) >= _SENTENCE))).alias("sentence"))
 
     asked = sentences(read_table(spark, sf, "benchmark"), "item_id", "text")
-    held = sentences(read_table(spark, sf, "documents"), "doc_id", "text")
+    held = sentences(spread(read_table(spark, sf, "documents")), "doc_id", "text")
     return asked.join(held, "sentence").select(F.col("item_id").alias("question"), "doc_id", F.lit(0).alias("chunk_id")).distinct()
 
 

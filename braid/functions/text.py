@@ -72,3 +72,23 @@ class Analyzer:
             return F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
 
         return let(words, with_pairs)
+
+    def counts(self, text: Column) -> Column:
+        """Array of (term, tf), each term once: the terms are sorted and runs of equal ones measured inside the row."""
+        return let(F.sort_array(self.terms(text)), _runs)
+
+
+def _runs(terms: Column) -> Column:
+    n = F.size(terms)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+
+    def measured(starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda at, i: F.struct(
+                F.get(terms, at).alias("term"), (F.coalesce(F.get(starts, i + 1), n) - at).cast("bigint").alias("tf")
+            ),
+        )
+
+    return let(starts, measured)

@@ -62,12 +62,12 @@ def linked_gap_per_link(items: DataFrame, links: DataFrame, key: str, by: list[s
 
 def term_set_diff(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Compare two array columns as sets: shared, only A, only B, identical."""
-    sa, sb = F.array_sort(F.array_distinct(a)), F.array_sort(F.array_distinct(b))
+    sa, sb = F.sort_array(F.array_distinct(a)), F.sort_array(F.array_distinct(b))
     return pairs.select(
         *[c for c in pairs.columns if c not in (a, b)],
-        F.array_sort(F.array_intersect(sa, sb)).alias("shared"),
-        F.array_sort(F.array_except(sa, sb)).alias("only_a"),
-        F.array_sort(F.array_except(sb, sa)).alias("only_b"),
+        F.sort_array(F.array_intersect(sa, sb)).alias("shared"),
+        F.sort_array(F.array_except(sa, sb)).alias("only_a"),
+        F.sort_array(F.array_except(sb, sa)).alias("only_b"),
         (sa == sb).alias("identical"),
     )
 

@@ -195,7 +195,7 @@ def _contributions(model: LinearModel, values: dict[str, Column]) -> Column:
         ]
     )
     keyed = F.transform(items, lambda x: F.struct((-F.abs(F.round(x["contribution"], 9))).alias("k"), x["pos"].alias("p"), x.alias("item")))
-    return F.transform(F.array_sort(keyed), lambda x: x["item"])
+    return F.transform(F.sort_array(keyed), lambda x: x["item"])
 
 
 def attribution(rows: DataFrame, model: LinearModel, keep: list[str] = ["txn_id"]) -> DataFrame:

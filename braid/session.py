@@ -36,6 +36,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with few splits out to the waiting task slots.
+
+    One file with one row group is one task however long its texts are. A table of
+    many splits, as on a cluster, is returned as it is.
+    """
+    slots = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read: the one named in spark.checkpoint.dir.
 
