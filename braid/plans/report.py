@@ -167,8 +167,9 @@ GAP = ("completed_trials", "with_a_linked_paper", "no_linked_paper", "pct_missin
 
 
 def publication_linkage(scoped: DataFrame, links: DataFrame) -> DataFrame:
-    completed = scoped.filter(F.col("status_group") == "Completed").select("nct_id", F.lit(1).alias("_all"))
-    return linked_gap(completed, links, "nct_id", ["_all"], GAP).drop("_all")
+    """Completed trials in scope with and without a linked paper; one row also for an empty scope."""
+    completed = scoped.filter(F.col("status_group") == "Completed").select("nct_id")
+    return linked_gap(completed, links, "nct_id", [], GAP)
 
 
 def publication_gap(landscape: DataFrame, links: DataFrame) -> DataFrame:
