@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from braid.functions.binding import let
 from braid.operators.rules import lookup, ordered_rules, regex_rules
 
 # ---------------------------------------------------------------- registry
@@ -162,7 +163,7 @@ UNCLASSIFIED = "Other / unclassified"
 
 
 def endpoint_category(measure: Column) -> Column:
-    return regex_rules(F.upper(measure), ENDPOINT_RULES, UNCLASSIFIED)
+    return let(F.upper(measure), lambda upper: regex_rules(upper, ENDPOINT_RULES, UNCLASSIFIED))
 
 
 def sponsor_group(name: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braid.functions import scalars as S
-from braid.functions.chunks import chunk_rows
+from braid.functions.chunks import chunk_rows, criteria
 from braid.operators.ranking import first_by_key
 
 _PROTOCOL = """STRUCT<
@@ -152,18 +152,17 @@ def shred(studies: DataFrame) -> dict[str, DataFrame]:
 
 
 def metrics(studies: DataFrame) -> DataFrame:
-    """Trials, chunks, chunks per section and trials without any chunk."""
-    keyed = _keyed(studies).select("nct_id")
-    cut = chunks(studies)
-    section = F.col("criterion_section")
-    counted = cut.agg(
-        F.count(F.lit(1)).alias("chunks"),
-        F.count_if(section == "INCLUSION").alias("incl"),
-        F.count_if(section == "EXCLUSION").alias("excl"),
-        F.count_if(~section.isin("INCLUSION", "EXCLUSION")).alias("unk"),
-    )
-    total = keyed.agg(F.count(F.lit(1)).alias("n"))
-    empty = keyed.join(cut.select("nct_id"), "nct_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
-        total.scalar().alias("trials"), "chunks", "incl", "excl", "unk", empty.scalar().alias("no_elig")
+    """Trials, chunks, chunks per section and trials without any chunk, in one pass and without a shuffle of texts."""
+    cut = _keyed(studies).select(criteria(F.col(_P + "eligibilityModule.eligibilityCriteria")).alias("c"))
+
+    def of(test):
+        return F.coalesce(F.sum(F.size(F.filter("c", lambda x: test(x["criterion_section"])))), F.lit(0))
+
+    return cut.agg(
+        F.count(F.lit(1)).alias("trials"),
+        F.coalesce(F.sum(F.size("c")), F.lit(0)).alias("chunks"),
+        of(lambda s: s == "INCLUSION").alias("incl"),
+        of(lambda s: s == "EXCLUSION").alias("excl"),
+        of(lambda s: ~s.isin("INCLUSION", "EXCLUSION")).alias("unk"),
+        F.count_if(F.size("c") == 0).alias("no_elig"),
     )
