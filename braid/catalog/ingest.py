@@ -64,8 +64,18 @@ def raw_studies(spark, sf):
     return doc.select(F.to_json(study).alias("json"))
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
 def studies(spark, sf):
-    return registry.parse(raw_studies(spark, sf), "json")
+    """The snapshot written as JSON lines, read back and landed as parquet by the first query of the session."""
+    name = (spark.sparkContext.applicationId, sf)
+    if name not in _LANDED:
+        root = run_dir(spark, "snapshot")
+        raw_studies(spark, sf).write.text(f"{root}/lines")
+        files.write_parquet(registry.read_lines(spark, f"{root}/lines"), f"{root}/studies")
+        _LANDED[name] = f"{root}/studies"
+    return spark.read.parquet(_LANDED[name])
 
 
 _ID = "'NCT' || lpad(CAST(doc_id AS VARCHAR), 8, '0')"
@@ -174,14 +184,32 @@ def shred_metrics(spark, sf):
           UNION ALL SELECT {_ID}, 'ALL' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))""",
 )
 def snapshot_union_first_wins(spark, sf):
-    whole = raw_studies(spark, sf)
+    whole = studies(spark, sf)
     ids = read_table(spark, sf, "labels").select(F.concat(F.lit("NCT"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id"))
-    keyed = whole.withColumn("id", F.get_json_object("json", "$.protocolSection.identificationModule.nctId"))
-    labelled = registry.parse(keyed.join(ids, "id", "left_semi"), "json")
-    union = registry.union_snapshots([("LABELLED", labelled), ("ALL", registry.parse(whole, "json"))])
+    labelled = whole.join(ids, registry.study_key() == ids["id"], "left_semi")
+    union = registry.union_snapshots([("LABELLED", labelled), ("ALL", whole)])
     return union.select(registry.study_key().alias("nct_id"), F.col("_indication").alias("indication"))
 
 
+@query(
+    "snapshot_clashes",
+    """SELECT (SELECT CAST(count(*) AS BIGINT) FROM documents) AS trials,
+              (SELECT CAST(count(*) AS BIGINT) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS cross_listed_dropped""",
+)
+def snapshot_clashes(spark, sf):
+    whole = studies(spark, sf)
+    ids = read_table(spark, sf, "labels").select(F.concat(F.lit("NCT"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id"))
+    labelled = whole.join(ids, registry.study_key() == ids["id"], "left_semi")
+    return registry.clashes([("LABELLED", labelled), ("ALL", whole)])
+
+
+@query("parse_json_column", f"SELECT {_ID} AS nct_id, upper(lang) AS indication FROM documents")
+def parse_json_column(spark, sf):
+    """Studies parsed straight from a string column."""
+    parsed = registry.parse(raw_studies(spark, sf), "json")
+    return parsed.select(registry.study_key().alias("nct_id"), F.col("_indication").alias("indication"))
+
+
 # ------------------------------------------------------------------ articles
 
 

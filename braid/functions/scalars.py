@@ -119,7 +119,7 @@ UNMAPPED = "Other / unmapped"
 
 
 def region(country: Column) -> Column:
-    return lookup(country, {c: r for r, names in REGION_COUNTRIES.items() for c in names}, UNMAPPED)
+    return ordered_rules([(country.isin(*names), name) for name, names in REGION_COUNTRIES.items()], UNMAPPED)
 
 
 # Endpoint classes in order of precedence, matched on the upper-cased measure (fixed values).

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from braid.functions import scalars as S
 from braid.operators.matching import contains_join, has_words
+from braid.plans.semantic import n_distinct
 
 # Curated drug names: canonical name, alias, kind (fixed values).
 DRUG_ALIASES = [
@@ -84,7 +85,7 @@ def v_sponsor(landscape: DataFrame) -> DataFrame:
 def v_trial_geo(landscape: DataFrame, countries: DataFrame, home: str = HOME) -> DataFrame:
     """Countries per trial and the two answerable readings; a trial without countries has neither."""
     per_trial = countries.groupBy("nct_id").agg(
-        F.count_distinct("country").alias("n_countries"), F.bool_or(F.col("country") == home).alias("has_us_site")
+        n_distinct("country").alias("n_countries"), F.bool_or(F.col("country") == home).alias("has_us_site")
     )
     return (
         landscape.select("nct_id")
