@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braid.functions import scalars as S
 from braid.operators.ranking import quantile_cont
-from braid.plans.semantic import n_distinct, v_geography
+from braid.plans.semantic import n_distinct, n_regions, v_geography
 
 
 def v_burden(chunks: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def _footprint(countries: DataFrame) -> DataFrame:
     return (
         v_geography(countries)
         .groupBy("nct_id")
-        .agg(n_distinct("region").alias("regions"), n_distinct("country").alias("countries"))
+        .agg(n_regions().alias("regions"), n_distinct("country").alias("countries"))
     )
 
 

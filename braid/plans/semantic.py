@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braid.functions import scalars as S
+from braid.operators.rules import ordered_rules
 
 
 def v_trials(trials: DataFrame) -> DataFrame:
@@ -22,6 +23,22 @@ def v_geography(countries: DataFrame) -> DataFrame:
     return countries.withColumn("region", S.region(F.col("country")))
 
 
+def n_regions(region: str = "region"):
+    """Distinct regions as bits of a number, which hash aggregation keeps in place."""
+    names = [*S.REGION_COUNTRIES, S.UNMAPPED]
+    bit = ordered_rules([(F.col(region) == name, 1 << i) for i, name in enumerate(names)], 0)
+    return F.bit_count(F.bit_or(bit)).cast("bigint")
+
+
+ENDPOINTS = sorted([label for _, label in S.ENDPOINT_RULES] + [S.UNCLASSIFIED])
+
+
+def first_label(column: str, labels: list[str]):
+    """Alphabetically first of a fixed set of labels, aggregated as its number, which needs no sort."""
+    place = F.min(ordered_rules([(F.col(column) == label, i) for i, label in enumerate(labels)], len(labels)))
+    return F.get(F.array(*[F.lit(label) for label in labels]), place)
+
+
 def n_distinct(column: str):
     """Distinct count of a column with few values, such as a country: one shuffle instead of two."""
     return F.size(F.collect_set(column)).cast("bigint")
@@ -61,12 +78,12 @@ LANDSCAPE = [
 
 def v_landscape(trials: DataFrame, arms: DataFrame, countries: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One wide row per trial. Every child table is aggregated to the trial before its join."""
-    regions = v_geography(countries).groupBy("nct_id").agg(n_distinct("region").alias("region_count"))
+    regions = v_geography(countries).groupBy("nct_id").agg(n_regions().alias("region_count"))
     primary = (
         v_endpoints(outcomes)
         .filter(F.col("outcome_kind") == "PRIMARY")
         .groupBy("nct_id")
-        .agg(F.min("endpoint_category").alias("primary_endpoint_category"))
+        .agg(first_label("endpoint_category", ENDPOINTS).alias("primary_endpoint_category"))
     )
     design = v_design(arms).select("nct_id", "comparator_design", "arm_count")
     return (
