@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from braid.catalog.base import query, with_ctes
 from braid.catalog.payment_frames import (
-    ACCOUNTS, ALERTS, FEATURES, NOVELTY, PAYMENTS, SCORED_CTES, VELOCITY, accounts, alerts, features, payments, scaled_sql,
+    ACCOUNTS, ALERTS, NOVELTY, PAYMENTS, SCORED_CTES, VELOCITY, accounts, alerts, features, payments, scaled_sql,
     scored,
 )
 from braid.operators.changes import unmatched_facts

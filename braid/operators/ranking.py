@@ -69,7 +69,7 @@ def order_statistic(df: DataFrame, column: str, rank: Callable[[int], int]) -> t
     Every round is one pre-aggregated count that returns a single row; its bounds
     are literals, so the next round skips data outside them while reading.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     n, lo, hi = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
     if not n:
         return 0, None

@@ -5,7 +5,7 @@ Layout under one root in the shared folder:
     stage/<topic>/batch=<n>     every record as it arrived, with partition, offset and broker time
     log/<table>/batch=<n>       the batch's latest record per key, deletes included
     base/<table>/version=<n>    all keys as of batch n, written by ``compact``
-    scored/batch=<n>            features and scores recomputed by the batch
+    log/scores, base/scores     features and scores, recomputed by each batch for what it touches
 
 Every batch writes to folders named after its number and replaces what a failed
 attempt left there, so a replayed batch changes nothing. A table's current rows
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from braid.operators import changes as C
 from braid.operators.ranking import latest_by_key
+from braid.operators.skew import small
 from braid.plans import payments as P
+from braid.session import settle
 from braid.sources.files import append_runs
 
 ENVELOPE = f"{C.OP} STRING, {C.DELETED} STRING, kafka_ts TIMESTAMP, {C.PARTITION} INT, {C.OFFSET} BIGINT"
@@ -97,13 +99,24 @@ def current(spark: SparkSession, root: str, topic: Topic) -> DataFrame:
     return latest_by_key(rows, [topic.key], [C.OFFSET]).filter(~C.is_delete())
 
 
-def compact(spark: SparkSession, root: str, topic: Topic) -> None:
+def compact(spark: SparkSession, root: str, topic: Topic, order: str = C.OFFSET) -> None:
     """Fold the log into a new base; readers of the old base are not disturbed."""
     rows, log = _rows(spark, root, topic), _read(spark, f"{root}/log/{topic.table}")
     if rows is None or log is None:
         return
     upto = log.agg(F.max("batch")).first()[0]
-    _write(latest_by_key(rows, [topic.key], [C.OFFSET]), f"{root}/base/{topic.table}/version={upto}")
+    _write(latest_by_key(rows, [topic.key], [order]), f"{root}/base/{topic.table}/version={upto}")
+
+
+SCORED_IN = "scored_in"
+
+
+def _score_table(topic: Topic) -> Topic:
+    return Topic("scores", topic.key, "")
+
+
+def compact_scores(spark: SparkSession, root: str, topic: Topic) -> None:
+    compact(spark, root, _score_table(topic), SCORED_IN)
 
 
 def staged(spark: SparkSession, root: str, topic: Topic) -> DataFrame:
@@ -127,36 +140,57 @@ def _touched(spark: SparkSession, root: str, topic: Topic, batch_id: int) -> Dat
     places = log.select("account_id", "initiated_at")
     earlier = _rows(spark, root, topic, before=batch_id)
     if earlier is not None:
-        places = places.unionByName(earlier.join(log.select(topic.key), topic.key, "left_semi").select("account_id", "initiated_at"))
+        moved = earlier.join(small(log.select(topic.key)), topic.key, "left_semi")
+        places = places.unionByName(moved.select("account_id", "initiated_at"))
     return places.filter("account_id is not null").groupBy("account_id").agg(F.min("initiated_at").alias("since"))
 
 
+def _history(spark: SparkSession, root: str, topic: Topic, touched: DataFrame) -> DataFrame | None:
+    """Current payments of the touched accounts from 30 days before their first changed payment on.
+
+    The table is scanned, not shuffled: first for the keys that have a version in
+    question, then for all versions of these keys, because a later one may have
+    moved out of it.
+    """
+    rows = _rows(spark, root, topic)
+    first = touched.agg(F.min("since")).first()[0]
+    if rows is None or first is None:
+        return None
+    reach = F.expr("INTERVAL 30 DAY")
+    accounts = small(touched)
+    near = rows.select(topic.key, "account_id", "initiated_at").filter(F.col("initiated_at") >= F.lit(first) - reach)
+    keys = settle(
+        near.join(accounts, "account_id").filter(F.col("initiated_at") >= F.col("since") - reach).select(topic.key).distinct(), "keys"
+    )
+    versions = rows.join(small(keys), topic.key, "left_semi")
+    latest = latest_by_key(versions, [topic.key], [C.OFFSET]).filter(~C.is_delete())
+    # The features read it several times.
+    return settle(latest.join(accounts, "account_id").filter(F.col("initiated_at") >= F.col("since") - reach), "history")
+
+
 def refresh_scores(
     spark: SparkSession, root: str, topic: Topic, accounts: DataFrame, model: P.LinearModel, batch_id: int
 ) -> None:
     """Recompute features and scores of the touched accounts from the first changed payment on.
 
-    Only these accounts' payments of the 30 days before that point are read as
-    history; later payments are recomputed because their windows may hold the
-    changed rows. A late record is therefore in place once its batch is done.
+    Later payments are recomputed because their windows may hold the changed rows.
+    A late record is therefore in place once its batch is done.
     """
-    touched = _touched(spark, root, topic, batch_id)
-    history = (
-        current(spark, root, topic)
-        .join(touched, "account_id")
-        .filter(F.col("initiated_at") >= F.col("since") - F.expr("INTERVAL 30 DAY"))
-    )
+    touched = settle(_touched(spark, root, topic, batch_id), "touched")
+    history = _history(spark, root, topic, touched)
+    if history is None:
+        return
     rows = P.score(P.features(history.drop("since"), accounts), model)
-    changed = rows.join(touched, "account_id").filter(F.col("initiated_at") >= F.col("since")).drop("since")
-    _write(changed, f"{root}/scored/batch={batch_id}")
+    changed = rows.join(small(touched), "account_id").filter(F.col("initiated_at") >= F.col("since")).drop("since")
+    _write(changed.withColumn(SCORED_IN, F.lit(batch_id)), f"{root}/log/scores/batch={batch_id}")
 
 
 def scores(spark: SparkSession, root: str, topic: Topic) -> DataFrame:
     """The newest score of every payment that still exists."""
-    logged = _read(spark, f"{root}/scored")
-    if logged is None:
+    rows = _rows(spark, root, _score_table(topic))
+    if rows is None:
         raise ValueError("no payment has been scored yet")
-    newest = latest_by_key(logged, [topic.key], ["batch"]).drop("batch")
+    newest = latest_by_key(rows, [topic.key], [SCORED_IN]).drop(SCORED_IN)
     return C.without_orphans(newest, current(spark, root, topic), topic.key)
 
 

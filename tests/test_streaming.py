@@ -78,6 +78,7 @@ def test_replay_changes_nothing_and_old_records_do_not_revive_a_key(feed):
     feed.run()
     before = feed.state(), feed.scores()
     S.compact(feed.spark, feed.root, feed.topic)
+    S.compact_scores(feed.spark, feed.root, feed.topic)
     assert (feed.state(), feed.scores()) == before
     feed.put(record(1, 0), record(2, 1, minutes=3))
     feed.run()
