@@ -117,6 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     own = labels.select(F.col("doc_id").alias("id"), domain.alias("domain")).filter("id IS NOT NULL AND domain IS NOT NULL").distinct()
     own = own.filter(F.col("domain").isin(domains)).withColumn("at", F.xxhash64("id"))
     most = max(1, sample // max(1, len(domains)))
+    share = {r["domain"]: r["count"] for r in own.groupBy("domain").count().collect()}
     chosen: dict = {}
     for name in domains:
         for r in own.filter(F.col("domain") == name).orderBy("at", "id").limit(most).collect():
@@ -132,8 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
 
     kind = {str(k): d for k, d in chosen.items()}
     found = sorted((r["id"], bytes(r["words"])) for r in rows.mapInArrow(run, "id string, words binary").collect())
-    unique = dict(found)
-    return fit_classifier([(kind[i], np.frombuffer(w, np.int32)) for i, w in unique.items()], domains)
+    examples = [(kind[i], np.frombuffer(w, np.int32)) for i, w in dict(found).items()]
+    model = fit_classifier(examples, domains)
+    # The sample has as many of a rare domain as of a frequent one; the labels' own shares return.
+    sampled = [sum(d == own for d, _ in examples) for own in domains]
+    prior = [np.log((share.get(d, 0) + 1) / (n + 1)) for d, n in zip(domains, sampled, strict=True)]
+    return model._replace(bias=model.bias + np.array(prior))
 
 
 def soft_members(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from braid.llm.languages import op9_language
 from braid.llm.mixing import op2_mixing
 from braid.llm.ngram_join import OP1_SQL, op1_ngram_join
 from braid.llm.packing import op10_packing
+from braid.llm.passages import op4_fuzzy_passages
 from braid.llm.secrets import op8_secret_scan
 from braid.llm.suffixes import op6_substring_dedup
 from braid.llm.urls import OP5_SQL, op5_url_filter
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
     "op3_fingerprint": op3_fingerprint,
+    "op4_fuzzy_passages": op4_fuzzy_passages,
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_embedding_links": op7_embedding_links,

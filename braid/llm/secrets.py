@@ -75,7 +75,7 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """(doc_id, spans) per row; spans are (start, end, kind) by start, then kind, then end.
+    """(doc_id, text_hash, spans) per row; spans are (start, end, kind) by start, then kind, then end.
 
     Base kinds are always reported. A weak identifier is reported when a key or a base secret
     lies within `scope` code points, a weak key when an identifier or access key lies there,
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int
     same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text"))
     every = F.concat("base", F.coalesce("linked", F.array().cast(_SPAN)))
     order = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    return rows.join(linked, same, "left").select("doc_id", F.array_sort(F.transform(every, order)).alias("spans"))
+    return rows.join(linked, same, "left").select("doc_id", "text_hash", F.array_sort(F.transform(every, order)).alias("spans"))
 
 
 def link_parts(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -145,6 +145,22 @@ def link_parts(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
 
 
+def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
+    """The text with each span, or run of overlapping spans, replaced by `mark`."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state, s):
+        fresh = s["start"] >= state["at"]
+        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"),
+            F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"),
+        )
+
+    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    return F.aggregate(found, begin, step, rest)
+
+
 def _listed(found: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"]))
