@@ -20,6 +20,8 @@ SAMPLE = 9_000
 PASSES = 25
 FEATURES = 600
 LEAST_SUPPORT = 10
+#: Bias of a domain that no labelled text has.
+NEVER = -1e9
 
 #: Domains of the labels table, and the share of the mixed tokens that each is to have.
 TOXIC, POOR, GOOD = "toxic", "poor", "good"
@@ -137,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     model = fit_classifier(examples, domains)
     # The sample has as many of a rare domain as of a frequent one; the labels' own shares return.
     sampled = [sum(d == own for d, _ in examples) for own in domains]
-    prior = [np.log((share.get(d, 0) + 1) / (n + 1)) for d, n in zip(domains, sampled, strict=True)]
-    return model._replace(bias=model.bias + np.array(prior))
+    prior = [np.log((share.get(d, 0) + 1) / (n + 1)) if n else NEVER for d, n in zip(domains, sampled, strict=True)]
+    return model._replace(bias=model.bias + np.array(prior)) if any(sampled) else model
 
 
 def soft_members(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
@@ -183,42 +185,46 @@ def fit_rates(members: DataFrame, targets: list[float], passes: int = PASSES, to
     is as large as keeps the rate of a domain with a target at 1 or more on average, so that
     mixing repeats scarce domains before it drops others. All rates begin at 1, and a step
     moves a rate by the posteriors times the gaps, preconditioned by the domains' second
-    moments; each pass is one aggregation of a few numbers over `members` (n_tokens, p).
+    moments over the rates that aren't held at 0; a step that widens the gaps is halved. Each
+    pass is one aggregation of a few numbers over `members` (n_tokens, p).
     """
     k = len(targets)
     share = np.array(targets, float)
     share = share / share.sum()
-    t = F.col("n_tokens").cast("double")
-    p = [F.col("p")[d] for d in range(k)]
-    moments = members.agg(
-        *[F.sum(t * x).alias(f"s{d}") for d, x in enumerate(p)],
-        *[F.sum(t * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(a, k)],
-    ).first()
-    now = np.array([moments[f"s{d}"] or 0.0 for d in range(k)])
-    gram = np.array([[moments[f"m{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)])
+
+    def measure(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens per domain, and second moments over the rows whose rate can move."""
+        rows = members.select(F.col("n_tokens").cast("double").alias("t"), "p", _rate(steps).alias("rate"))
+        p = [F.col("p")[d] for d in range(k)]
+        moves = F.when(F.col("rate") > 0, F.col("t")).otherwise(0.0)
+        got = rows.agg(
+            *[F.sum(F.col("rate") * F.col("t") * x).alias(f"s{d}") for d, x in enumerate(p)],
+            *[F.sum(moves * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(k) for b in range(a, k)],
+        ).first()
+        sums = np.array([got[f"s{d}"] or 0.0 for d in range(k)])
+        gram = np.array([[got[f"m{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)])
+        return sums, gram
+
+    now, gram = measure([])
     wanted = share > 0
     total = max((now[wanted] / share[wanted]).max(), 0.0)
     goal = share * total
     if not total:
         return [], now, goal
-    guard = gram + 1e-6 * np.trace(gram) / k * np.eye(k)
+    gap_of = lambda sums: np.abs(sums - goal).sum() / total
     steps: list[np.ndarray] = []
-    best, best_gap, damp = [], np.inf, 1.0
+    damp = 1.0
     for _ in range(passes):
-        gap = np.abs(now - goal).sum() / total
-        if gap < best_gap:
-            best, best_gap, best_now = list(steps), gap, now
+        if gap_of(now) < tolerance or damp < 1e-3:
+            break
+        guard = gram + 1e-6 * np.trace(gram) / k * np.eye(k)
+        tried = [*steps, damp * np.linalg.solve(guard, now - goal)]
+        sums, moments = measure(tried)
+        if gap_of(sums) < gap_of(now):
+            steps, now, gram, damp = tried, sums, moments, min(1.0, 2 * damp)
         else:
             damp /= 2
-            steps, now = list(best), best_now
-        if best_gap < tolerance or damp < 1e-3:
-            break
-        steps.append(damp * np.linalg.solve(guard, now - goal))
-        held = members.select("n_tokens", "p", _rate(steps).alias("rate"))
-        sums = held.agg(*[F.sum(F.col("rate") * t * x).alias(f"s{d}") for d, x in enumerate(p)]).first()
-        now = np.array([sums[f"s{d}"] or 0.0 for d in range(k)])
-    gap = np.abs(now - goal).sum() / total
-    return (steps, now, goal) if gap < best_gap else (best, best_now, goal)
+    return steps, now, goal
 
 
 def mix(
@@ -234,7 +240,8 @@ def mix(
     domain (the likeliest) and rate, the expected number of times to take the document.
 
     Null and empty texts have no tokens, so that no rate of theirs changes a total; they get the
-    prior's rate. Without labels all documents are alike. An empty table gives an empty result.
+    prior's rate. A domain without a labelled text has posterior 0 and no target; without any
+    labelled text of a domain with a target, all rates are 1. An empty table gives an empty result.
     """
     targets = TARGETS if targets is None else targets
     names = list(targets)
@@ -243,7 +250,9 @@ def mix(
     members = soft_members(docs, model, text).select(*[F.col(f"`{c}`") for c in keep], "n_tokens", "p")
     # The words are read once; the passes read these narrow rows.
     members = settle(members, "members")
-    steps, _, _ = fit_rates(members, list(targets.values()))
+    seen = [float(b) > NEVER / 2 for b in model.bias]
+    reachable = [t if ok else 0.0 for t, ok in zip(targets.values(), seen, strict=True)]
+    steps, _, _ = fit_rates(members, reachable) if model.weights.any() and any(reachable) else ([], None, None)
     label = F.array(*[F.lit(n) for n in names])
     top = F.get(label, F.array_position("p", F.array_max("p")).cast("int") - 1)
     return members.withColumn("domain", top).withColumn("rate", _rate(steps))
