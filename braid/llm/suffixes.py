@@ -21,7 +21,7 @@ SEED = 31
 SPAN = MATCH - SEED + 1
 #: Window starts handled at once, and records per batch of an index.
 CHUNK = 1 << 18
-BATCH = 1 << 15
+BATCH = 1 << 14
 BROADCAST_KEYS = 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -268,7 +268,7 @@ def _with_text(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _records(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """The shared anchors with the bytes that their windows cover, dealt to shards by hash."""
-    shards = shards_of(rows)
+    shards = 2 * shards_of(rows)
     lists = shared.groupBy("doc", "tag").agg(F.collect_list("places").alias("places"))
     placed = _with_text(rows, lists)
 
@@ -322,6 +322,12 @@ def _records(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, schema([*_RECORD, "bytes"])).repartition(shards, "shard")
 
 
+def _seed_numbers(cover: np.ndarray) -> np.ndarray:
+    """A number per record that is the same for equal seeds."""
+    words = np.ascontiguousarray(cover[:, SPAN - 1 : SPAN + 23]).view(np.uint64)
+    return mixed(words[:, 0] ^ mixed(words[:, 1] + np.uint64(1)) ^ mixed(words[:, 2] + np.uint64(2)))
+
+
 def _repeats(records: DataFrame) -> DataFrame:
     """(doc, tag, starts, ends): the runs of bytes of windows that occur before."""
 
@@ -346,18 +352,25 @@ def _repeats(records: DataFrame) -> DataFrame:
         for k in ("doc", "tag", "place", "low"):
             twin[1:] &= e[k][order][1:] == e[k][order][:-1]
         order = order[~twin]
-        family = IndexFamily()
+        # Equal seeds meet in one of several smaller families, which hold one after the other.
+        seeds = np.concatenate([_seed_numbers(r) for r in rows])[order]
+        several = -(-len(order) // BATCH)
+        group = (seeds % np.uint64(several)).astype(np.int64)
+        order = order[np.argsort(group, kind="stable")]
+        ends = np.cumsum(np.bincount(group, minlength=several))
         hits: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            cover = np.empty((len(pick), SPAN - 1 + MATCH), np.uint8)
-            for p in np.unique(part[pick]):
-                here = part[pick] == p
-                cover[here] = rows[p][line[pick[here]]]
-            before = np.ascontiguousarray(cover[:, SPAN - 2 :: -1])
-            array = SuffixArray(np.ascontiguousarray(cover[:, SPAN - 1 :]), before, e["low"][pick].astype(np.int64), e["high"][pick].astype(np.int64))
-            record, offset = family.add(array)
-            hits.append((pick[record], offset))
+        for begin, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+            family = IndexFamily()
+            for at in range(begin, end, BATCH):
+                pick = order[at : min(at + BATCH, end)]
+                cover = np.empty((len(pick), SPAN - 1 + MATCH), np.uint8)
+                for p in np.unique(part[pick]):
+                    here = part[pick] == p
+                    cover[here] = rows[p][line[pick[here]]]
+                before = np.ascontiguousarray(cover[:, SPAN - 2 :: -1])
+                low, high = (e[k][pick].astype(np.int64) for k in ("low", "high"))
+                record, offset = family.add(SuffixArray(np.ascontiguousarray(cover[:, SPAN - 1 :]), before, low, high))
+                hits.append((pick[record], offset))
         record, offset = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
         start = e["place"][record].astype(np.int64) - offset
         doc, tag = e["doc"][record], e["tag"][record]
