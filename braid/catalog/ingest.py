@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braid.catalog.base import query, with_ctes
-from braid.functions.chunks import chunk_rows
+from braid.functions.chunks import BULLET, HEADING, INLINE, chunk_rows
 from braid.plans import runlog
 from braid.session import read_table, run_dir, spread
 from braid.sources import articles, files, registry
@@ -135,9 +135,7 @@ def shred_arms_interventions(spark, sf):
 
 
 # The chunker once more as windows over lines: a second way to the same chunks.
-_RE_HEAD = r"(?i)^\s*(?:key\s+|main\s+|patient\s+|subject\s+)?(inclusion|exclusion)\s*(?:criteria)?\s*[:\-–]?\s*$"
-_RE_INLINE = r"(?i)(?:key\s+|main\s+)?(inclusion|exclusion)\s+criteria\s*[:\-–]"
-_RE_BULLET = r"(?i)^\s*(?:[-*•–]|\(?\d{1,2}[.)]|\(?[a-z][.)])\s+"
+_RE_HEAD, _RE_INLINE, _RE_BULLET = (p.replace("(?iuU)", "(?i)") for p in (HEADING, INLINE, BULLET))
 CHUNK_CTES = (
     f"""elig AS (SELECT doc_id, regexp_replace('Inclusion criteria:' || chr(10) || '- ' || replace(text, '. ', '.' || chr(10) || '- ')
         || chr(10) || 'Notes. Key Exclusion Criteria: ' || replace(text, ', ', chr(10)), '{_RE_INLINE}', chr(10) || '\\1 Criteria:' || chr(10), 'g') AS t FROM documents)""",

@@ -95,22 +95,26 @@ def enrolment_over_p99(spark, sf):
     return rows.select("nct_id", "enrollment_raw", F.col("enrollment").alias("p99"))
 
 
-_FOOT = """foot AS (SELECT nct_id, CAST(count(DISTINCT region) AS BIGINT) AS regions, CAST(count(DISTINCT country) AS BIGINT) AS countries
-  FROM geography GROUP BY nct_id)"""
-_BOARD_CTES = (*T.LANDSCAPE_CTES, T.CHUNKS, _BURDEN, _ENROL, _FOOT)
+_FACTS = f"""cap AS (SELECT quantile_cont(CAST(enrollment AS DOUBLE), 0.99) AS p99 FROM trials),
+asked AS (
+  SELECT nct_id, CAST(count(*) AS BIGINT) AS criteria, CAST(count_if(criterion_section = 'EXCLUSION') AS BIGINT) AS exclusion_criteria
+  FROM chunks GROUP BY nct_id),
+reached AS (SELECT nct_id, CAST(count(DISTINCT country) AS BIGINT) AS countries FROM countries GROUP BY nct_id),
+facts AS (
+  SELECT nct_id AS trial_id, indication, brief_title AS title, phase, phase_is_stated, status_group AS status, lead_sponsor AS sponsor, sponsor_type,
+         comparator_design AS design, ifnull(primary_endpoint_category, 'Not recorded') AS primary_endpoint, start_year, region_count AS regions,
+         CASE WHEN region_count > 1 THEN 'Multi-region' ELSE 'Single region' END AS footprint, ifnull(countries, 0) AS countries,
+         CASE WHEN enrollment >= p99 THEN p99 ELSE CAST(enrollment AS DOUBLE) END AS capped, criteria, exclusion_criteria,
+         {_BAND.replace("n_criteria", "criteria")} AS screening_burden
+  FROM landscape CROSS JOIN cap LEFT JOIN asked USING (nct_id) LEFT JOIN reached USING (nct_id))"""
+_BOARD_CTES = (*T.LANDSCAPE_CTES, T.CHUNKS, _FACTS)
 
 
 @query(
     "board_global",
     with_ctes(*_BOARD_CTES)
-    + f"""SELECT v.nct_id AS trial_id, indication, brief_title AS title, phase,
-               CASE WHEN phase_is_stated THEN 'Stated' ELSE 'Not stated' END AS phase_stated, status_group AS status,
-               lead_sponsor AS sponsor, sponsor_type, comparator_design AS design,
-               coalesce(primary_endpoint_category, 'Not recorded') AS primary_endpoint, start_year,
-               coalesce(regions, 0) AS regions, CASE WHEN regions > 1 THEN 'Multi-region' ELSE 'Single region' END AS footprint,
-               coalesce(countries, 0) AS countries, e.enrollment AS planned_enrolment, n_criteria AS criteria,
-               n_exclusion AS exclusion_criteria, {_BAND} AS screening_burden, 1 AS trials
-          FROM landscape v LEFT JOIN burden b ON b.nct_id = v.nct_id LEFT JOIN enrol e ON e.nct_id = v.nct_id LEFT JOIN foot g ON g.nct_id = v.nct_id""",
+    + """SELECT * EXCLUDE (phase_is_stated, capped), CASE phase_is_stated WHEN true THEN 'Stated' ELSE 'Not stated' END AS phase_stated,
+                capped AS planned_enrolment, 1 AS trials FROM facts""",
 )
 def board_global(spark, sf):
     return boards.board_global(T.landscape(spark, sf), T.chunks(spark, sf), T.trials(spark, sf), T.countries(spark, sf))
@@ -119,13 +123,9 @@ def board_global(spark, sf):
 @query(
     "board_region_alloc",
     with_ctes(*_BOARD_CTES)
-    + f"""SELECT region, country, v.nct_id AS trial_id, indication, brief_title AS title, phase, status_group AS status,
-               lead_sponsor AS sponsor, sponsor_type, comparator_design AS design, start_year,
-               CASE WHEN regions > 1 THEN 'Multi-region' ELSE 'Single region' END AS footprint, n_criteria AS criteria,
-               n_exclusion AS exclusion_criteria, {_BAND} AS screening_burden, round(e.enrollment / countries, 1) AS enrolment_share,
-               e.enrollment AS trial_enrolment, 1 AS site_countries
-          FROM geography gg JOIN landscape v ON v.nct_id = gg.nct_id LEFT JOIN burden b ON b.nct_id = v.nct_id
-          LEFT JOIN enrol e ON e.nct_id = v.nct_id LEFT JOIN foot g ON g.nct_id = v.nct_id""",
+    + """SELECT region, country, facts.* EXCLUDE (phase_is_stated, primary_endpoint, regions, countries, capped),
+                round(capped / countries, 1) AS enrolment_share, capped AS trial_enrolment, 1 AS site_countries
+         FROM facts JOIN geography ON geography.nct_id = facts.trial_id""",
 )
 def board_region_alloc(spark, sf):
     return boards.board_region(T.landscape(spark, sf), T.chunks(spark, sf), T.trials(spark, sf), T.countries(spark, sf))
@@ -199,27 +199,28 @@ def _section(name):
 
 
 _SECTION_SQL = {
-    "scope": """SELECT CAST(count(*) AS BIGINT) AS trials, CAST(count(DISTINCT lead_sponsor) AS BIGINT) AS sponsors,
-                       CAST(count(*) FILTER (phase_is_stated) AS BIGINT) AS with_a_stated_phase FROM scoped""",
-    "trials": """SELECT nct_id, substr(brief_title, 1, 90) AS title, phase, status_group, lead_sponsor, enrollment, start_year
-                 FROM scoped ORDER BY enrollment DESC NULLS LAST, nct_id LIMIT 15""",
-    "sponsors": """SELECT sponsor_group, sponsor_type, CAST(count(*) AS BIGINT) AS trials, CAST(count(DISTINCT lead_sponsor) AS BIGINT) AS raw_names
-                   FROM scoped GROUP BY 1, 2 ORDER BY trials DESC, sponsor_group, sponsor_type LIMIT 10""",
-    "phase": """SELECT phase, CAST(count(*) AS BIGINT) AS trials, round(100.0 * count(*) / (SELECT count(*) FROM scoped), 1) AS pct
-                FROM scoped GROUP BY 1""",
-    "status": "SELECT status_group, CAST(count(*) AS BIGINT) AS trials FROM scoped GROUP BY 1",
-    "geography": """SELECT country, CAST(count(DISTINCT nct_id) AS BIGINT) AS trials FROM countries
-                    WHERE nct_id IN (SELECT nct_id FROM scoped) GROUP BY 1 ORDER BY trials DESC, country LIMIT 10""",
-    "endpoints": """SELECT endpoint_category, CAST(count(DISTINCT nct_id) AS BIGINT) AS trials FROM endpoints
-                    WHERE outcome_kind = 'PRIMARY' AND nct_id IN (SELECT nct_id FROM scoped)
-                    GROUP BY 1 ORDER BY trials DESC, endpoint_category LIMIT 10""",
-    "publications": """SELECT CAST(count(*) AS BIGINT) AS completed_trials, CAST(count(p) AS BIGINT) AS with_a_linked_paper,
-                              CAST(count(*) - count(p) AS BIGINT) AS no_linked_paper, round(100.0 * (count(*) - count(p)) / count(*), 1) AS pct_missing
-                       FROM scoped t LEFT JOIN (SELECT DISTINCT nct_id, 1 AS p FROM links) l ON l.nct_id = t.nct_id
-                       WHERE status_group = 'Completed'""",
+    "scope": """FROM scoped SELECT CAST(count(nct_id) AS BIGINT) AS trials, CAST(count(DISTINCT lead_sponsor) AS BIGINT) AS sponsors,
+                CAST(sum(CAST(phase_is_stated AS INTEGER)) AS BIGINT) AS with_a_stated_phase""",
+    "trials": """FROM scoped SELECT nct_id, left(brief_title, 90) AS title, phase, status_group, lead_sponsor, enrollment, start_year
+                 QUALIFY row_number() OVER (ORDER BY enrollment DESC NULLS LAST, nct_id) <= 15""",
+    "sponsors": """WITH names AS (SELECT sponsor_group, sponsor_type, lead_sponsor, count(*) AS n FROM scoped GROUP BY ALL),
+                   groups AS (SELECT sponsor_group, sponsor_type, CAST(sum(n) AS BIGINT) AS trials, CAST(count(*) AS BIGINT) AS raw_names FROM names GROUP BY ALL)
+                   FROM groups SELECT * QUALIFY row_number() OVER (ORDER BY trials DESC, sponsor_group, sponsor_type) <= 10""",
+    "phase": """WITH n AS (SELECT phase, CAST(count(*) AS BIGINT) AS trials FROM scoped GROUP BY ALL)
+                SELECT phase, trials, round(100.0 * trials / sum(trials) OVER (), 1) AS pct FROM n""",
+    "status": "FROM scoped SELECT status_group, CAST(count(nct_id) AS BIGINT) AS trials GROUP BY ALL",
+    "geography": """WITH n AS (SELECT country, CAST(count(*) AS BIGINT) AS trials FROM scoped JOIN countries USING (nct_id) GROUP BY ALL)
+                    FROM n SELECT * QUALIFY row_number() OVER (ORDER BY trials DESC, country) <= 10""",
+    "endpoints": """WITH own AS (SELECT DISTINCT nct_id, endpoint_category FROM endpoints SEMI JOIN scoped USING (nct_id) WHERE outcome_kind = 'PRIMARY'),
+                    n AS (SELECT endpoint_category, CAST(count(*) AS BIGINT) AS trials FROM own GROUP BY ALL)
+                    FROM n SELECT * QUALIFY row_number() OVER (ORDER BY trials DESC, endpoint_category) <= 10""",
+    "publications": """WITH done AS (SELECT nct_id, nct_id IN (SELECT nct_id FROM links) AS linked FROM scoped WHERE status_group = 'Completed'),
+                       n AS (SELECT CAST(count(*) AS BIGINT) AS completed_trials, CAST(count_if(linked) AS BIGINT) AS with_a_linked_paper FROM done)
+                       SELECT *, completed_trials - with_a_linked_paper AS no_linked_paper,
+                              round(100.0 * (completed_trials - with_a_linked_paper) / completed_trials, 1) AS pct_missing FROM n""",
 }
 for _name, _sql in _SECTION_SQL.items():
-    query(f"report_{_name}", with_ctes(*_REPORT, T.LINKS) + _sql)(_section(_name))
+    query(f"report_{_name}", with_ctes(*_REPORT, T.LINKS) + f"SELECT * FROM ({_sql})")(_section(_name))
 
 _NAMED = "nct_id IN (SELECT nct_id FROM interventions WHERE upper(intervention_name) LIKE '%PEMBROLIZUMAB%')"
 _ALIASED = "nct_id IN (SELECT nct_id FROM trial_drug WHERE drug = 'pembrolizumab')"
@@ -360,6 +361,18 @@ def corpus_totals(spark, sf):
     )
 
 
+@query(
+    "mix_top_countries",
+    with_ctes(T.GEO)
+    + """SELECT country AS label, CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) / (SELECT count(*) FROM countries), 1) AS pct
+         FROM countries GROUP BY country ORDER BY n DESC, label LIMIT 12""",
+)
+def mix_top_countries(spark, sf):
+    """The countries with most trials, over the whole corpus."""
+    rows = shares.with_share(shares.distribution_distinct(T.countries(spark, sf), ["country"], "nct_id"))
+    return rows.withColumnRenamed("country", "label").orderBy(F.desc("n"), "label").limit(12)
+
+
 @query(
     "load_audit",
     with_ctes(T.CHUNKS)

@@ -14,8 +14,8 @@ BULLET = r"(?iuU)^\s*(?:[-*•–]|\(?\d{1,2}[.)]|\(?[a-z][.)])\s+"
 SHORTEST = 15
 NO_SECTION = "UNKNOWN"
 
-# Two private-use characters separate sections and criteria while a text is cut.
-_SECTION, _CRITERION = "", ""
+# Marks of sections and criteria while a text is cut. A line holds no line feed, so no line holds a mark.
+_SECTION, _CRITERION = "\nS", "\nC"
 
 
 def criteria(text: Column) -> Column:
@@ -26,8 +26,7 @@ def criteria(text: Column) -> Column:
     are marked, joined again and split at the marks, so a text is cut in one pass
     inside its own row, without a shuffle.
     """
-    clean = F.translate(text, _SECTION + _CRITERION, "")
-    spread = F.regexp_replace(clean, F.lit(INLINE), F.lit("\n$1 Criteria:\n"))
+    spread = F.regexp_replace(text, F.lit(INLINE), F.lit("\n$1 Criteria:\n"))
     lines = F.filter(F.split(spread, "\n", -1), lambda line: line.rlike(r"(?U)\S"))
     marked = F.transform(
         lines,

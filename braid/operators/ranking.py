@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,20 +14,30 @@ from braid.session import settle
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The row with the greatest ``order`` per key; pre-aggregated before the shuffle."""
-    return _edge_by_key(df, keys, order, F.max_by)
+    """The row with the greatest ``order`` per key; one of them where several have it."""
+    return _edge_by_key(df, keys, order, F.max)
 
 
 def first_by_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The row with the smallest ``order`` per key."""
-    return _edge_by_key(df, keys, order, F.min_by)
+    """The row with the smallest ``order`` per key; one of them where several have it."""
+    return _edge_by_key(df, keys, order, F.min)
 
 
 def _edge_by_key(df, keys, order, pick):
+    """Only keys and order are aggregated; the wide rows meet the winners, and losers go there.
+
+    A single order column of a fixed width is aggregated by hash. The join is on the keys
+    alone, so that the last step, which settles ties, needs no further shuffle.
+    """
+    exprs = [F.col(o) if isinstance(o, str) else o for o in order]
+    marked = df.withColumns({f"_o{i}": e for i, e in enumerate(exprs)})
+    at = F.struct(*[F.col(f"_o{i}") for i in range(len(exprs))]) if len(exprs) > 1 else F.col("_o0")
+    edge = marked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(pick(at).alias("_edge"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    won = marked.join(edge, reduce(lambda a, b: a & b, same)).filter(at.eqNullSafe(F.col("_edge")))
     rest = [c for c in df.columns if c not in keys]
-    at = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
-    best = df.groupBy(*keys).agg(pick(F.struct(*rest), at).alias("_r"))
-    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+    one = won.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_r")) if rest else won.select(*keys).distinct()
+    return one.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -67,16 +78,29 @@ def order_statistic(df: DataFrame, column: str, rank: Callable[[int], int]) -> t
     The range of the values is cut into equal bins and only the bin that holds
     the rank is kept, again and again, until at most ``SORTABLE`` values are left.
     Every round is one pre-aggregated count that returns a single row; its bounds
-    are literals, so the next round skips data outside them while reading.
+    are literals, so the next round skips data outside them while reading. A round parts
+    the smallest from the greatest value, so the search ends; infinite values are counted
+    beforehand.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    n, lo, hi = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    top = float("inf")
+    finite = F.when(F.abs("v") < top, F.col("v"))
+    n, under, over, lo, hi = values.agg(
+        F.count("v"), F.count_if(F.col("v") == -top), F.count_if(F.col("v") == top), F.min(finite), F.max(finite)
+    ).first()
     if not n:
         return 0, None
-    k, below, left = rank(n), 0, n
+    k = rank(n)
+    if k < under or k >= n - over:
+        return n, -top if k < under else top
+    values = values.filter(F.abs("v") < top)
+    below, left = under, n - under - over
     while lo < hi and left > SORTABLE:
-        width = (hi - lo) / BINS
-        place = F.least(F.floor((F.col("v") - lo) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        # Quarters keep the range of any two finite values finite.
+        width = (hi / 4 - lo / 4) / BINS
+        if width == 0:
+            break
+        place = F.least(F.floor((F.col("v") / 4 - lo / 4) / width), F.lit(BINS - 1))
         inside = values.filter(F.col("v").between(lo, hi))
         bins = inside.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         lo, hi, below, left = _holding_rank(bins, "b", below, k).select("lo", "hi", F.col("upto") - F.col("n"), "n").first()

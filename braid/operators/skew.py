@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key with more rows than this leaves the plain per-key plan.
-HOT_KEY_ROWS = 2_000_000
+HOT_KEY_ROWS = 200_000
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

@@ -1,11 +1,11 @@
 """Strictly-past windows over time, per key, with a plan for hot keys.
 
 "Strictly past" means the frame ``[t - span, t)``: the row itself and every row
-with the same timestamp are outside. Ordinary keys use a plain RANGE frame. A
-key that holds a large share of the table would put all its rows in one task, so
-hot keys are cut into short time buckets and the frame is expressed as the
-difference of two prefix totals, each made of a prefix inside one bucket and the
-sum of all earlier buckets.
+with the same timestamp are outside. A window is the difference of two prefix
+totals, which is linear in the rows; a moving frame would be computed anew for
+every row. A key that holds a large share of the table would put all its rows in
+one task, so hot keys are cut into short time buckets, and a prefix total is one
+inside a bucket and the sum of all earlier buckets.
 """
 
 from __future__ import annotations
@@ -45,13 +45,26 @@ def _check_exact(df: DataFrame, value: str) -> None:
         raise ValueError(f"{value} must be decimal or integral so that totals are exact, not {kind.simpleString()}")
 
 
-def _past_cold(df, key, value, windows):
-    out = df
-    for w in windows:
-        frame = W.partitionBy(key).orderBy("_us").rangeBetween(-w.seconds * MICROS, -1)
-        agg = F.count(F.lit(1)) if w.agg == "count" else F.sum(value)
-        out = out.withColumn(w.name, F.coalesce(agg.over(frame), F.lit(0)))
-    return out
+def _past_cold(df, key, row_id, value, windows):
+    """Each window as the difference of two prefix totals: up to the row, and up to its span before.
+
+    A growing frame is linear in the rows of a key, whatever the number of rows in a window.
+    A row stands for itself once and, without counting, for the begin of each of its spans;
+    its totals come together again inside the partition of its key, without a shuffle.
+    """
+    spans = sorted({w.seconds for w in windows})
+    own = F.col("_lag") == 0
+    points = (
+        df.withColumn("_lag", F.explode(F.array(*[F.lit(s).cast("long") for s in [0, *spans]])))
+        .withColumn("_pt", F.col("_us") - F.col("_lag") * MICROS)
+        .select(key, row_id, "_lag", "_pt", F.when(own, F.struct(*df.columns)).alias("_row"), F.when(own, F.col(value)).alias("_v"))
+    )
+    frame = W.partitionBy(key).orderBy("_pt").rangeBetween(W.unboundedPreceding, -1)
+    points = points.withColumn("_n", F.sum(F.when(own, 1).otherwise(0)).over(frame)).withColumn("_s", F.sum("_v").over(frame))
+    at = lambda column, lag: F.coalesce(F.max(F.when(F.col("_lag") == lag, F.col(column))), F.lit(0))
+    totals = [(at(c, 0) - at(c, w.seconds)).alias(w.name) for w in windows for c in ["_n" if w.agg == "count" else "_s"]]
+    rows = points.groupBy(key, row_id).agg(F.first("_row", ignorenulls=True).alias("_row"), *totals)
+    return rows.select("_row.*", *[w.name for w in windows])
 
 
 def _past_hot(df, key, value, row_id, windows, bucket_seconds):
@@ -121,7 +134,7 @@ def past_features(
     timed = df.withColumn("_us", micros(ts))
     cold, hot = split_hot(timed, [key], hot_rows)
     if windows:
-        cold = _past_cold(cold, key, value, windows)
+        cold = _past_cold(cold, key, row_id, value, windows)
         hot = _past_hot(hot, key, value, row_id, windows, bucket_seconds)
     cold = _unseen(cold, key, unseen, None)
     hot = _unseen(hot, key, unseen, bucket_seconds)
@@ -191,7 +204,8 @@ def next_within(
         .withColumn("_home", F.floor(F.col("_us") / width))
         .withColumn("_b", F.explode(F.when(F.col("_t"), F.array(F.col("_home") - 1, F.col("_home"))).otherwise(F.array("_home"))))
     )
-    after = W.partitionBy(key, "_b").orderBy("_us").rangeBetween(1, W.unboundedFollowing)
+    # Latest first, so that what lies ahead is a growing frame.
+    after = W.partitionBy(key, "_b").orderBy(F.desc("_us")).rangeBetween(W.unboundedPreceding, -1)
     nxt = F.min(F.when(F.col("_t"), F.struct("_us", *payload))).over(after)
     return (
         marked.withColumn("_next", nxt)
