@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from braid.catalog.base import query, with_ctes
 from braid.functions.chunks import BULLET, HEADING, INLINE, chunk_rows
 from braid.plans import runlog
-from braid.session import read_table, run_dir, spread
+from braid.session import read_table, run_dir, spread, table_version
 from braid.sources import articles, files, registry
 
 _PHASES = ["", "NA", "PHASE1", "PHASE2", "PHASE3|PHASE2", "EARLY_PHASE1"]
@@ -68,8 +68,8 @@ _LANDED: dict[tuple[str, str], str] = {}
 
 
 def studies(spark, sf):
-    """The snapshot written as JSON lines, read back and landed as parquet by the first query of the session."""
-    name = (spark.sparkContext.applicationId, sf)
+    """The snapshot written as JSON lines, read back and landed as parquet, anew when the documents have changed."""
+    name = (spark.sparkContext.applicationId, table_version(spark, sf, "documents"))
     if name not in _LANDED:
         root = run_dir(spark, "snapshot")
         raw_studies(spark, sf).write.text(f"{root}/lines")

@@ -339,28 +339,6 @@ def phase_by_status(spark, sf):
     return report.phase_by_status(T.landscape(spark, sf))
 
 
-@query(
-    "corpus_totals",
-    with_ctes(T.TRIALS, T.GEO, T.OUTCOMES, T.CHUNKS)
-    + """SELECT 'trials' AS fact, CAST(count(*) AS BIGINT) AS n FROM trials
-         UNION ALL SELECT 'criteria', CAST(count(*) AS BIGINT) FROM chunks
-         UNION ALL SELECT 'outcomes', CAST(count(*) AS BIGINT) FROM outcomes
-         UNION ALL SELECT 'countries', CAST(count(DISTINCT country) AS BIGINT) FROM countries
-         UNION ALL SELECT 'sponsors', CAST(count(DISTINCT lead_sponsor) AS BIGINT) FROM trials""",
-)
-def corpus_totals(spark, sf):
-    trials = T.trials(spark, sf)
-    return shares.labelled_counts(
-        {
-            "trials": trials,
-            "criteria": T.chunks(spark, sf),
-            "outcomes": T.outcomes(spark, sf),
-            "countries": T.countries(spark, sf).select("country").distinct(),
-            "sponsors": trials.select("lead_sponsor").distinct(),
-        }
-    )
-
-
 @query(
     "mix_top_countries",
     with_ctes(T.GEO)

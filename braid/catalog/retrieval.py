@@ -10,11 +10,12 @@ from braid.catalog.ingest import CHUNK_CTES, document_chunks
 from braid.functions.text import Analyzer, accent_pairs, spark_stop_words
 from braid.functions.vectors import l2_norm
 from braid.operators.ranking import global_rank
+from braid.operators import shares
 from braid.operators.shares import term_set_diff
 from braid.plans import evaluation as E
 from braid.plans import lsa
 from braid.plans import retrieval as R
-from braid.session import read_table, run_dir, spread
+from braid.session import read_table, run_dir, spread, table_version
 
 KEY = ["doc_id", "chunk_id"]
 K = 20
@@ -50,8 +51,8 @@ _BUILT: dict[tuple[str, str], R.Index] = {}
 
 
 def stored_index(spark, sf):
-    """The index as an artefact in the shared folder, built by the first search of the session."""
-    name = (spark.sparkContext.applicationId, sf)
+    """The index as an artefact in the shared folder, built anew when the documents have changed."""
+    name = (spark.sparkContext.applicationId, table_version(spark, sf, "documents"))
     if name not in _BUILT:
         _BUILT[name] = R.build_index(corpus(spark, sf), KEY, "chunk_text", Analyzer(), root=run_dir(spark, "index"))
     return _BUILT[name]
@@ -73,7 +74,7 @@ INDEX = (
     _analyzed("terms", "documents", "doc_id", "text"),
     "counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2)",
     """vocab AS MATERIALIZED (SELECT term, count(*) AS df, ln(1.0 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf
-  FROM counts GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.6 * (SELECT count(*) FROM documents) ORDER BY sum(tf) DESC, term LIMIT 300000)""",
+  FROM counts GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.6 * (SELECT count(*) FROM documents))""",
     "postings AS MATERIALIZED (SELECT c.* FROM counts c JOIN vocab v ON v.term = c.term)",
     """lengths AS (SELECT d.doc_id, CAST(coalesce(sum(p.tf), 0) AS BIGINT) AS len FROM documents d LEFT JOIN postings p ON p.doc_id = d.doc_id GROUP BY 1)""",
 )
@@ -118,7 +119,7 @@ SEARCH = (*INDEX, *REQUESTS, BM25, COSINE, *RANKED)
 )
 def term_index(spark, sf):
     ix = index(spark, sf)
-    return ix.postings.join(F.broadcast(ix.vocabulary), "term").select("doc_id", "term", "tf", "df", F.round("idf", 9).alias("idf"))
+    return ix.postings.join(ix.vocabulary, "term").select("doc_id", "term", "tf", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("chunk_lengths", with_ctes(*INDEX) + "SELECT * FROM lengths")
@@ -381,3 +382,39 @@ def svd_embed(spark, sf):
     model = lsa.fit(ix, Analyzer())
     out = lsa.embed_documents(ix, model)
     return out.select("doc_id", F.size("vector").alias("dims"), F.round(l2_norm(F.col("vector")), 4).alias("norm"))
+
+
+@query(
+    "corpus_totals",
+    with_ctes(T.TRIALS, T.GEO, T.OUTCOMES, T.CHUNKS, *INDEX)
+    + """SELECT 'trials' AS fact, CAST(count(*) AS BIGINT) AS n FROM trials
+         UNION ALL SELECT 'criteria', CAST(count(*) AS BIGINT) FROM chunks
+         UNION ALL SELECT 'outcomes', CAST(count(*) AS BIGINT) FROM outcomes
+         UNION ALL SELECT 'countries', CAST(count(DISTINCT country) AS BIGINT) FROM countries
+         UNION ALL SELECT 'sponsors', CAST(count(DISTINCT lead_sponsor) AS BIGINT) FROM trials
+         UNION ALL SELECT 'vector rows', CAST(sum(len(embedding)) AS BIGINT) FROM embeddings
+         UNION ALL SELECT 'token rows', CAST(count(*) AS BIGINT) FROM postings
+         UNION ALL SELECT 'vocabulary', CAST(count(*) AS BIGINT) FROM vocab""",
+)
+def corpus_totals(spark, sf):
+    """The eight counters of the corpus and its retrieval artefacts."""
+    trials, ix = T.trials(spark, sf), stored_index(spark, sf)
+    vectors = read_table(spark, sf, "embeddings").select(F.explode("embedding").alias("val"))
+    return shares.labelled_counts(
+        {
+            "trials": trials,
+            "criteria": T.chunks(spark, sf),
+            "outcomes": T.outcomes(spark, sf),
+            "countries": T.countries(spark, sf).select("country").distinct(),
+            "sponsors": trials.select("lead_sponsor").distinct(),
+            "vector rows": vectors,
+            "token rows": ix.postings,
+            "vocabulary": ix.vocabulary,
+        }
+    )
+
+
+@query("gold_sources", "SELECT 'derived' AS gold_source, CAST(count(*) AS BIGINT) AS questions FROM benchmark")
+def gold_sources(spark, sf):
+    """How many questions take their gold from which source."""
+    return E.gold_sources(questions(spark, sf))

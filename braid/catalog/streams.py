@@ -8,7 +8,7 @@ from braid.catalog.base import query, with_ctes
 from braid.catalog.payment_frames import SCORED_CTES, accounts, payments
 from braid.operators import changes as C
 from braid.plans import payments as P
-from braid.session import run_dir
+from braid.session import run_dir, table_version
 from braid.streaming import changefeed as S
 
 COLUMNS = (
@@ -33,8 +33,8 @@ _DONE: dict[tuple[str, str], tuple[str, S.Topic]] = {}
 
 
 def streamed(spark, sf):
-    """(root, topic) after the whole stream has run once in this session."""
-    name = (spark.sparkContext.applicationId, sf)
+    """(root, topic) after the whole stream has run, anew when its tables have changed."""
+    name = (spark.sparkContext.applicationId, table_version(spark, sf, "events", "customer"))
     if name not in _DONE:
         root = run_dir(spark, "stream")
         # Files by partition of the topic: records of one key arrive in any order.

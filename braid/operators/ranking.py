@@ -40,13 +40,24 @@ def _edge_by_key(df, keys, order, pick):
     return one.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+# Up to this k Spark keeps k rows per group and map task by itself (its windowGroupLimitThreshold).
+PRUNED_K = 1_000
+SALTS = 64
+
+
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """Best ``k`` rows per group, with their rank.
+    """Best ``k`` rows per group, with their rank; ``order`` must be total.
 
     Spark keeps only ``k`` rows per group and map task before the shuffle
-    (WindowGroupLimit, active up to spark.sql.optimizer.windowGroupLimitThreshold).
+    (WindowGroupLimit). For a ``k`` beyond its threshold each group is first ranked in
+    parts, so that no task holds a whole group; the result is the same.
     """
-    return df.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)
+    number = F.row_number()
+    if k > PRUNED_K:
+        dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        best = dealt.withColumn("_at", number.over(W.partitionBy(*group, "_salt").orderBy(*order))).filter(F.col("_at") <= k)
+        df = best.drop("_salt", "_at")
+    return df.withColumn(rank, number.over(W.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)
 
 
 def global_rank(df: DataFrame, order: list[Column], rank: str = "rank", partitions: int | None = None) -> DataFrame:

@@ -32,15 +32,3 @@ def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_KEY_ROWS) -> t
     cold = df.join(small, _same_key(df, hot, keys), "left_anti")
     warm = df.join(small, _same_key(df, hot, keys), "left_semi")
     return cold, warm
-
-
-# Largest side that is copied to every executor.
-SMALL_ROWS = 1_000_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Mark a side for broadcast if it has at most ``rows`` rows; a larger one is joined by shuffle.
-
-    The count stops at the limit, so it is cheap however large the side is.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -49,10 +51,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
+def table_version(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """Changes whenever a file of the tables does; for artefacts that are kept while it stays."""
+    parts = []
+    for name in names:
+        files = read_table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        seen = files.distinct().agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+        parts.append(f"{sf_dir}/{name}@{seen}")
+    return " ".join(parts)
+
+
+_OWN: dict[str, str] = {}
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """A folder for one local application, removed when the process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="braid-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read: the one named in spark.checkpoint.dir.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    A local master without that setting, as in tests, gets a folder of its own.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if configured:
@@ -60,9 +84,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), "braid-shared")
+    return _own_dir(spark)
 
 
 def run_dir(spark: SparkSession, label: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,17 +36,35 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", by: list[st
 VERSION = "version"
 
 
+def publish(spark: SparkSession, root: str, version: int) -> None:
+    """Mark a version as complete; a version without its mark is never read."""
+    spark.range(1).write.mode("overwrite").parquet(f"{root}.published/{VERSION}={version}")
+
+
+def published(spark: SparkSession, root: str) -> int | None:
+    """The newest version marked as complete."""
+    try:
+        marks = spark.read.parquet(f"{root}.published")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return marks.agg(F.max(VERSION)).first()[0]
+
+
 def refresh(df: DataFrame, root: str, version: int) -> None:
     """Write a complete new version of a table beside the old ones. Readers keep the version they started with."""
     df.write.mode("overwrite").parquet(f"{root}/{VERSION}={version}")
+    publish(df.sparkSession, root, version)
 
 
 def current(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """The newest complete version of a table written by ``refresh``; older folders are pruned."""
-    reader = spark.read.schema(schema.add(VERSION, "int")) if schema is not None else spark.read
-    versions = reader.parquet(root)
-    newest = versions.agg(F.max(VERSION)).scalar()
-    return versions.filter(F.col(VERSION) == newest).drop(VERSION)
+    """The newest complete version of a table written by ``refresh``; no other folder is read."""
+    newest = published(spark, root)
+    if newest is None:
+        raise ValueError(f"no version of {root} is complete")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(f"{root}/{VERSION}={newest}")
 
 
 # ------------------------------------------------------------------- run log

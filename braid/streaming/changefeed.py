@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 
 from braid.operators import changes as C
 from braid.operators.ranking import latest_by_key
-from braid.operators.skew import small
 from braid.plans import payments as P
 from braid.session import settle
-from braid.sources.files import append_runs
+from braid.sources.files import VERSION, append_runs, published, refresh
 
 ENVELOPE = f"{C.OP} STRING, {C.DELETED} STRING, kafka_ts TIMESTAMP, {C.PARTITION} INT, {C.OFFSET} BIGINT"
 
@@ -77,14 +76,14 @@ def _write(df: DataFrame, path: str) -> None:
 
 def _rows(spark: SparkSession, root: str, topic: Topic, before: int | None = None) -> DataFrame | None:
     """Base rows and the log behind them; with ``before`` only what earlier batches wrote."""
-    base = _read(spark, f"{root}/base/{topic.table}")
+    at = f"{root}/base/{topic.table}"
+    newest = published(spark, at)
+    base = None if newest is None else spark.read.parquet(f"{at}/{VERSION}={newest}")
     log = _read(spark, f"{root}/log/{topic.table}")
     if log is not None and before is not None:
         log = log.filter(F.col("batch") < before)
-    if base is not None:
-        newest = base.agg(F.max("version")).first()[0]
-        base = base.filter(F.col("version") == newest).drop("version")
-        log = None if log is None else log.filter(F.col("batch") > newest)
+    if log is not None and newest is not None:
+        log = log.filter(F.col("batch") > newest)
     log = None if log is None else log.drop("batch")
     if base is None or log is None:
         return base if log is None else log
@@ -101,11 +100,13 @@ def current(spark: SparkSession, root: str, topic: Topic) -> DataFrame:
 
 def compact(spark: SparkSession, root: str, topic: Topic, order: str = C.OFFSET) -> None:
     """Fold the log into a new base; readers of the old base are not disturbed."""
-    rows, log = _rows(spark, root, topic), _read(spark, f"{root}/log/{topic.table}")
-    if rows is None or log is None:
+    log = _read(spark, f"{root}/log/{topic.table}")
+    if log is None:
         return
+    # Fixed first: a batch that arrives from here on stays in the log.
     upto = log.agg(F.max("batch")).first()[0]
-    _write(latest_by_key(rows, [topic.key], [order]), f"{root}/base/{topic.table}/version={upto}")
+    rows = _rows(spark, root, topic, before=upto + 1)
+    refresh(latest_by_key(rows, [topic.key], [order]), f"{root}/base/{topic.table}", upto)
 
 
 SCORED_IN = "scored_in"
@@ -140,7 +141,7 @@ def _touched(spark: SparkSession, root: str, topic: Topic, batch_id: int) -> Dat
     places = log.select("account_id", "initiated_at")
     earlier = _rows(spark, root, topic, before=batch_id)
     if earlier is not None:
-        moved = earlier.join(small(log.select(topic.key)), topic.key, "left_semi")
+        moved = earlier.join(log.select(topic.key), topic.key, "left_semi")
         places = places.unionByName(moved.select("account_id", "initiated_at"))
     return places.filter("account_id is not null").groupBy("account_id").agg(F.min("initiated_at").alias("since"))
 
@@ -157,12 +158,12 @@ def _history(spark: SparkSession, root: str, topic: Topic, touched: DataFrame) -
     if rows is None or first is None:
         return None
     reach = F.expr("INTERVAL 30 DAY")
-    accounts = small(touched)
+    accounts = touched
     near = rows.select(topic.key, "account_id", "initiated_at").filter(F.col("initiated_at") >= F.lit(first) - reach)
     keys = settle(
         near.join(accounts, "account_id").filter(F.col("initiated_at") >= F.col("since") - reach).select(topic.key).distinct(), "keys"
     )
-    versions = rows.join(small(keys), topic.key, "left_semi")
+    versions = rows.join(keys, topic.key, "left_semi")
     latest = latest_by_key(versions, [topic.key], [C.OFFSET]).filter(~C.is_delete())
     # The features read it several times.
     return settle(latest.join(accounts, "account_id").filter(F.col("initiated_at") >= F.col("since") - reach), "history")
@@ -181,7 +182,7 @@ def refresh_scores(
     if history is None:
         return
     rows = P.score(P.features(history.drop("since"), accounts), model)
-    changed = rows.join(small(touched), "account_id").filter(F.col("initiated_at") >= F.col("since")).drop("since")
+    changed = rows.join(touched, "account_id").filter(F.col("initiated_at") >= F.col("since")).drop("since")
     _write(changed.withColumn(SCORED_IN, F.lit(batch_id)), f"{root}/log/scores/batch={batch_id}")
 
 
