@@ -208,6 +208,46 @@ def search_results(spark, sf):
     return R.present(found, chunks, trials, KEY, "doc_id").drop("chunk_id", "vec_sim", "bm25", "rrf")
 
 
+_TYPED = (
+    *INDEX,
+    _analyzed("qterms", "benchmark", "item_id", "text"),
+    """asks AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'PHASE1' END AS want_phase, CASE item_id % 3 WHEN 1 THEN 1000 END AS least, embedding AS qv
+  FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)""",
+    """candidates AS (SELECT item_id, qv, doc_id FROM asks JOIN landscape ON ifnull(phase = want_phase, want_phase IS NULL) AND (least IS NULL OR enrollment >= least)
+  JOIN documents ON doc_id = nct_id)""",
+    """near AS (SELECT item_id, doc_id, """
+    + _cos("embedding", "qv")
+    + """ AS score FROM candidates JOIN embeddings ON vec_id = doc_id WHERE qv IS NOT NULL)""",
+    """said AS (SELECT item_id, doc_id, round(sum(idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lengths)))), 6) AS score
+  FROM candidates JOIN (SELECT DISTINCT item_id, term FROM qterms) USING (item_id) JOIN vocab USING (term) JOIN postings USING (term, doc_id)
+  JOIN lengths USING (doc_id) GROUP BY ALL)""",
+    """placed AS (SELECT 'v' AS side, *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM near
+  UNION ALL SELECT 'b', *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) FROM said)""",
+    "merged AS (SELECT item_id, doc_id, sum(CAST(1 AS DOUBLE) / (60 + place) ORDER BY side DESC) AS rrf FROM placed GROUP BY ALL)",
+)
+
+
+@query(
+    "hybrid_trial_filter",
+    with_ctes(*T.LANDSCAPE_CTES, *_TYPED)
+    + f"""SELECT item_id AS request, doc_id, phase, enrollment, round(rrf, 9) AS rrf,
+                 CAST(row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS INTEGER) AS rank
+          FROM merged JOIN landscape ON nct_id = doc_id QUALIFY rank <= {K}""",
+)
+def hybrid_trial_filter(spark, sf):
+    """Each request with a typed filter of its own on the trials: a phase, a least enrolment or none."""
+    number = F.col("question") % 3
+    asked = questions(spark, sf).select(
+        F.col("question").alias("request"), "text", "vector",
+        F.when(number == 0, "PHASE1").alias("want_phase"), F.when(number == 1, 1000).alias("least_enrollment"),
+    )
+    trials = T.landscape(spark, sf).select(F.col("nct_id").alias("doc_id"), "phase", "enrollment")
+    chunks = corpus(spark, sf).join(trials, "doc_id")
+    wanted = [("want_phase", "=", "phase"), ("least_enrollment", ">=", "enrollment")]
+    found = R.hybrid_search(stored_index(spark, sf), vectors(spark, sf), asked, chunks, Analyzer(), K, wanted)
+    return found.join(trials, "doc_id").select("request", "doc_id", "phase", "enrollment", F.round("rrf", 9).alias("rrf"), "rank")
+
+
 @query(
     "deep_and_shown",
     with_ctes(*SEARCH) + "SELECT item_id AS question, mode, CAST(count(*) AS BIGINT) AS deep, CAST(count(*) FILTER (rank <= 5) AS BIGINT) AS shown FROM hits GROUP BY 1, 2",
