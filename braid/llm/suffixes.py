@@ -254,7 +254,28 @@ def _per_document(doc: np.ndarray, tag: np.ndarray, columns: list[np.ndarray], n
         yield pa.RecordBatch.from_arrays(arrays, names=["doc", "tag", *names])
 
 
-_RECORD = {"doc": "<i8", "tag": "<u4", "place": "<u4", "low": "u1", "high": "u1"}
+_RECORD = {"doc": "<i8", "tag": "<u4", "place": "<u4", "low": "u1", "high": "u1", "again": "u1"}
+
+
+def _again(cover: np.ndarray, doc, tag, place, low, high) -> np.ndarray:
+    """Records whose bytes and windows are those of an earlier record of the same batch.
+
+    All their windows occur before, so their bytes need not travel: of a passage that many
+    texts share, a batch sends one copy.
+    """
+    wide = np.zeros((len(cover), -(-cover.shape[1] // 8) * 8), np.uint8)
+    wide[:, : cover.shape[1]] = cover
+    number = low.astype(np.uint64) * np.uint64(256) + high.astype(np.uint64)
+    for word in wide.view(np.uint64).T:
+        number = mixed(number * np.uint64(3) ^ word)
+    order = np.lexsort((place, tag, doc, number))
+    ranked = number[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = (low[order] == low[first]) & (high[order] == high[first]) & (wide[order] == wide[first]).all(1)
+    out = np.zeros(len(cover), np.uint8)
+    out[order] = same & ~new
+    return out
 
 
 def _with_text(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -280,17 +301,19 @@ def _records(rows: DataFrame, shared: DataFrame) -> DataFrame:
         def gathered() -> pa.RecordBatch:
             h = np.concatenate([p[0] for p in parts])
             columns = [np.concatenate([p[i] for p in parts]) for i in range(1, 6)]
-            bits = np.concatenate([p[6] for p in parts])
+            cover = np.concatenate([p[6] for p in parts])
             parts.clear()
+            columns.append(_again(cover, *columns))
             shard = _shard(h, shards)
             names = list(_RECORD)
             rest = pack(shard, [c.astype(k) for c, k in zip(columns, _RECORD.values(), strict=True)], names)
             order = np.argsort(shard, kind="stable")
-            sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])), len(shard)))
+            ends = np.append(np.flatnonzero(shard[order][1:] != shard[order][:-1]) + 1, len(shard))
             blocks, at = [], 0
-            for n in sizes:
-                blocks.append(press.compress(bits[order[at : at + n]].tobytes()))
-                at += n
+            for end in ends if len(shard) else []:
+                here = order[at:end]
+                blocks.append(press.compress(cover[here[columns[-1][here] == 0]].tobytes()))
+                at = end
             return pa.RecordBatch.from_arrays([*rest.columns, pa.array(blocks, pa.binary())], names=["shard", *names, "bytes"])
 
         done: set[tuple[int, int]] = set()
@@ -342,19 +365,25 @@ def _repeats(records: DataFrame) -> DataFrame:
         if not rows:
             return
         e = {k: np.concatenate(v) for k, v in kept.items()}
-        # Records by document order without a second copy of their bytes.
-        part = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        line = np.concatenate([np.arange(len(r)) for r in rows])
-        order = np.lexsort((e["low"], e["place"], e["tag"], e["doc"]))
+        # Where a record's bytes are, and the records by document order, without a second copy.
+        fresh = np.flatnonzero(e["again"] == 0)
+        part, line = np.zeros(len(e["doc"]), np.int64), np.zeros(len(e["doc"]), np.int64)
+        part[fresh] = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        line[fresh] = np.concatenate([np.arange(len(r)) for r in rows])
+        order = np.lexsort((1 - e["again"], e["low"], e["place"], e["tag"], e["doc"]))
         # Equal rows are one document, wherever they were read.
         twin = np.ones(len(order), bool)
         twin[0] = False
         for k in ("doc", "tag", "place", "low"):
             twin[1:] &= e[k][order][1:] == e[k][order][:-1]
         order = order[~twin]
+        known = order[e["again"][order] > 0]
+        order = order[e["again"][order] == 0]
         # Equal seeds meet in one of several smaller families, which hold one after the other.
-        seeds = np.concatenate([_seed_numbers(r) for r in rows])[order]
-        several = -(-len(order) // BATCH)
+        seeds = np.zeros(len(e["doc"]), np.uint64)
+        seeds[fresh] = np.concatenate([_seed_numbers(r) for r in rows])
+        seeds = seeds[order]
+        several = max(1, -(-len(order) // BATCH))
         group = (seeds % np.uint64(several)).astype(np.int64)
         order = order[np.argsort(group, kind="stable")]
         ends = np.cumsum(np.bincount(group, minlength=several))
@@ -371,18 +400,25 @@ def _repeats(records: DataFrame) -> DataFrame:
                 low, high = (e[k][pick].astype(np.int64) for k in ("low", "high"))
                 record, offset = family.add(SuffixArray(np.ascontiguousarray(cover[:, SPAN - 1 :]), before, low, high))
                 hits.append((pick[record], offset))
-        record, offset = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
-        start = e["place"][record].astype(np.int64) - offset
-        doc, tag = e["doc"][record], e["tag"][record]
-        order = np.lexsort((start, tag, doc))
-        doc, tag, start = doc[order], tag[order], start[order]
+        empty = [np.zeros(0, np.int64)]
+        record, offset = (np.concatenate([*empty, *[h[i] for h in hits]]).astype(np.int64) for i in (0, 1))
+        place = e["place"].astype(np.int64)
+        start = np.concatenate([place[record] - offset, place[known] - e["high"][known]])
+        end = np.concatenate([place[record] - offset, place[known] - e["low"][known]]) + MATCH
+        record = np.concatenate([record, known])
+        order = np.lexsort((start, e["tag"][record], e["doc"][record]))
+        doc, tag, start, end = e["doc"][record][order], e["tag"][record][order], start[order], end[order]
         if not len(doc):
             return
-        # Windows that overlap or touch are one run.
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + MATCH)])
+        # Windows that overlap or touch are one run; the numbers of documents keep their ends apart.
+        other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+        far = np.cumsum(other) << 33
+        reach = np.maximum.accumulate(far + end)
+        new = np.concatenate([[True], (far + start)[1:] > reach[:-1]])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(doc)) - 1
-        yield from _per_document(doc[first], tag[first], [start[first].astype("<u4"), (start[last] + MATCH).astype("<u4")], ["starts", "ends"])
+        ends = (reach[last] - far[last]).astype("<u4")
+        yield from _per_document(doc[first], tag[first], [start[first].astype("<u4"), ends], ["starts", "ends"])
 
     return records.mapInArrow(run, "doc long, tag long, starts binary, ends binary")
 
