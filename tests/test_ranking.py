@@ -98,3 +98,43 @@ def test_publication_gap_counts_trials_not_links(spark):
     assert linked_gap(trials, links, "nct_id", ["phase"], names).first()[1:] == (3, 1, 2, 66.7)
     # Counting after the join takes the trial with three papers for three trials.
     assert linked_gap_per_link(trials, links, "nct_id", ["phase"], names).first()[1:] == (5, 1, 4, 80.0)
+
+
+@pytest.mark.parametrize("sortable", [3, 65_536])
+def test_quantiles_with_infinite_and_huge_values(spark, monkeypatch, sortable):
+    monkeypatch.setattr(R, "SORTABLE", sortable)
+    monkeypatch.setattr(R, "BINS", 4)
+    inf = float("inf")
+    for values in ([0.0, 1.0, 2.0, inf], [-inf, -inf, 0.0, 5.0, inf], [-1.7e308, -1.0, 0.0, 1.0, 1.7e308, 1.7e308], [5e-324, 1e-323, 0.0, 1.5e-323, 2e-323]):
+        for k in range(len(values)):
+            n, got = R.order_statistic(values_frame(spark, values), "v", lambda _, k=k: k)
+            assert (n, got) == (len(values), sorted(values)[k])
+
+
+@pytest.mark.parametrize("k", [2, 1_200])
+def test_top_k_equals_a_full_ranking(spark, k):
+    rows = [(g, (i * 7919) % 5003, i) for g in range(2) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "g int, score int, id int")
+    got = R.top_k_per_group(df, ["g"], [F.desc("score"), F.col("id")], k).collect()
+    for g in range(2):
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:k]
+        assert sorted((r["rank"], r["id"]) for r in got if r["g"] == g) == [(n + 1, r[2]) for n, r in enumerate(want)]
+
+
+def test_latest_row_keeps_one_of_ties_and_null_keys(spark):
+    rows = [("a", 1, 1, "x"), ("a", 2, 1, "y"), ("a", 2, 1, "z"), (None, 5, 0, "n"), (None, 4, 9, "m"), ("b", None, 1, "q")]
+    df = spark.createDataFrame(rows, "k string, at int, part int, v string")
+    for order in (["at"], ["at", "part"]):
+        got = {r["k"]: r["v"] for r in R.latest_by_key(df, ["k"], order).collect()}
+        assert got["a"] in ("y", "z") and got[None] == "n" and got["b"] == "q" and len(got) == 3
+    assert {r["k"]: r["v"] for r in R.first_by_key(df, ["k"], ["at"]).collect()} == {"a": "x", None: "m", "b": "q"}
+    assert "SortAggregate" not in df.groupBy("k").agg(F.max("at"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_containment_in_a_long_text_and_quoting(spark):
+    long = "x " * 50_000 + "needle" + " y" * 10
+    texts = spark.createDataFrame([(1, long), (2, "nothing"), (3, r"a \E needle b")], "id int, text string")
+    phrases = spark.createDataFrame([("needle",), (r"\E n",), ("zz",)], "phrase string")
+    pairs = contains_join(texts, "text", phrases, "phrase")
+    assert sorted((r["id"], r["phrase"]) for r in pairs.collect()) == [(1, "needle"), (3, r"\E n"), (3, "needle")]
+    assert {r["id"] for r in pairs.filter(has_words(F.col("text"), F.col("phrase"))).collect()} == {1, 3}

@@ -138,3 +138,32 @@ def test_live_feed_hides_deletes_and_what_they_removed(spark):
     feed = spark.createDataFrame(rows, "txn_id int, __op string, ts int, kafka_partition int, kafka_offset int")
     got = [(r["txn_id"], r["change"]) for r in C.live_feed(feed, "txn_id", "ts", 10).collect()]
     assert got == [(4, "x"), (3, "UPDATE"), (2, "SNAPSHOT")]
+
+
+def test_a_batch_that_arrives_during_compaction_is_not_lost(feed, monkeypatch):
+    feed.put(record(1, 1), record(2, 2))
+    feed.run()
+    write = S.refresh
+
+    def late(df, root, version):
+        # Another batch is merged while the new base is being written.
+        feed.put(record(3, 3, minutes=5))
+        feed.run()
+        write(df, root, version)
+
+    monkeypatch.setattr(S, "refresh", late)
+    S.compact(feed.spark, feed.root, feed.topic)
+    assert sorted(feed.state()) == [1, 2, 3]
+    monkeypatch.setattr(S, "refresh", write)
+    S.compact(feed.spark, feed.root, feed.topic)
+    assert sorted(feed.state()) == [1, 2, 3]
+
+
+def test_an_unfinished_version_is_not_read(spark, tmp_path):
+    root = str(tmp_path / "table")
+    files.refresh(spark.createDataFrame([(1,)], "x int"), root, 1)
+    # As a writer leaves it that dies before it publishes.
+    spark.createDataFrame([(9,)], "x int").write.parquet(f"{root}/{files.VERSION}=2")
+    assert [r["x"] for r in files.current(spark, root).collect()] == [1]
+    with pytest.raises(ValueError):
+        files.current(spark, str(tmp_path / "none"))

@@ -86,3 +86,15 @@ def test_next_within_matches_brute_force(spark):
             first = min(later, key=lambda r: (r[2], r[0]))
             want[i] = (first[0], (first[2] - at).total_seconds())
     assert {r["id"]: (r["next_id"], r["gap_seconds"]) for r in got.collect()} == want
+
+
+def test_windows_and_next_rows_stay_linear(spark):
+    """No moving frame is left in the plans: every frame begins at the partition's edge."""
+    df = spark.createDataFrame([(1, "a", START, Decimal(5), 1)], SCHEMA)
+    past = past_features(df, "account", "ts", "amount", "id", [PastWindow("n", HOUR, "count"), PastWindow("s", DAY, "sum")])
+    ahead = next_within(df, "account", "ts", F.col("device") == 1, F.col("device") == 2, ["id"], HOUR)
+    for frame in (past, ahead):
+        plan = frame._jdf.queryExecution().analyzed().toString()
+        assert "windowframe" in plan.lower() or "specifiedwindowframe" in plan.lower()
+        for part in plan.lower().split("specifiedwindowframe(")[1:]:
+            assert "unboundedpreceding" in part.split(")")[0] + part.split(")")[1]
