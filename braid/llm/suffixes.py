@@ -178,10 +178,21 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+#: Texts copied out of an Arrow batch at once, and records gathered before they are sent.
+TEXTS = 500
+ANCHORS = 300_000
+RECORDS = 50_000
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS))
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
-    for doc, tag, text in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), texts, strict=True):
-        yield doc, tag, np.frombuffer(text, np.uint8)
+    for part in _slices(batch):
+        texts = part.column("text").cast(pa.binary()).to_pylist()
+        for doc, tag, text in zip(part.column("doc").to_pylist(), part.column("tag").to_pylist(), texts, strict=True):
+            yield doc, tag, np.frombuffer(text, np.uint8)
 
 
 def _all_anchors(rows: DataFrame) -> DataFrame:
@@ -206,7 +217,7 @@ def _all_anchors(rows: DataFrame) -> DataFrame:
                 if len(h):
                     parts.append((doc, tag, h, place))
                     total += len(h)
-                if total >= 1_000_000:
+                if total >= ANCHORS:
                     yield gathered()
                     total = 0
         if parts:
@@ -219,10 +230,25 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
 
 
+_PLACE_OF = {"doc": "<i8", "tag": "<u4", "place": "<u4"}
+_RUN_OF = {"doc": "<i8", "tag": "<u4", "start": "<u4", "end": "<u4"}
+
+
+def _by_document(doc: np.ndarray, tag: np.ndarray, columns: list[np.ndarray], fields: dict[str, str], shards: int) -> Iterator[pa.RecordBatch]:
+    """Records on their way to their document's shard."""
+    number = mixed(doc.astype(np.int64).view(np.uint64) ^ mixed(tag.astype(np.uint64)))
+    shard = (number % np.uint64(shards)).astype(np.int32)
+    every = [c.astype(k) for c, k in zip([doc, tag, *columns], fields.values(), strict=True)]
+    for at in range(0, len(doc), ANCHORS):
+        part = slice(at, at + ANCHORS)
+        yield pack(shard[part], [c[part] for c in every], list(fields))
+
+
 def _shared_places(seen: DataFrame) -> DataFrame:
-    """(doc, tag, places): the anchors of a document whose hash occurs elsewhere, too."""
+    """(doc, tag, places): the anchors of a document whose hash occurs elsewhere, too; one row each."""
+    shards = shards_of(seen)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = unpack(batches, _SEEN)
         order = np.argsort(e["hash"], kind="stable")
         h = e["hash"][order]
@@ -233,11 +259,15 @@ def _shared_places(seen: DataFrame) -> DataFrame:
         twice[1:] |= same
         twice[:-1] |= same
         keep = order[twice]
-        doc, tag, place = (e[k][keep] for k in ("doc", "tag", "place"))
-        order = np.lexsort((place, tag, doc))
-        yield from _per_document(doc[order], tag[order], [place[order]], ["places"])
+        yield from _by_document(e["doc"][keep], e["tag"][keep], [e["place"][keep]], _PLACE_OF, shards)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = unpack(batches, _PLACE_OF)
+        order = np.lexsort((e["place"], e["tag"], e["doc"]))
+        yield from _per_document(e["doc"][order], e["tag"][order], [e["place"][order]], ["places"])
 
-    return seen.mapInArrow(run, "doc long, tag long, places binary")
+    found = seen.mapInArrow(shared, schema(list(_PLACE_OF))).repartition(shards, "shard")
+    return found.mapInArrow(gathered, "doc long, tag long, places binary")
 
 
 def _per_document(doc: np.ndarray, tag: np.ndarray, columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +310,8 @@ def _again(cover: np.ndarray, doc, tag, place, low, high) -> np.ndarray:
 
 def _with_text(rows: DataFrame, found: DataFrame) -> DataFrame:
     """`rows` that have `found` (doc, tag, ...), with it; the keys are broadcast while few."""
-    keys = found.select("doc", "tag").distinct()
-    few = keys.count() <= BROADCAST_KEYS
-    if few:
+    keys = found.select("doc", "tag")
+    if keys.count() <= BROADCAST_KEYS:
         rows = rows.join(F.broadcast(keys), ["doc", "tag"], "left_semi")
     return rows.join(found, ["doc", "tag"])
 
@@ -290,8 +319,7 @@ def _with_text(rows: DataFrame, found: DataFrame) -> DataFrame:
 def _records(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """The shared anchors with the bytes that their windows cover, dealt to shards by hash."""
     shards = 2 * shards_of(rows)
-    lists = shared.groupBy("doc", "tag").agg(F.collect_list("places").alias("places"))
-    placed = _with_text(rows, lists)
+    placed = _with_text(rows, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
@@ -318,13 +346,12 @@ def _records(rows: DataFrame, shared: DataFrame) -> DataFrame:
 
         done: set[tuple[int, int]] = set()
         for batch in batches:
-            lists = batch.column("places").to_pylist()
-            for (doc, tag, data), places in zip(_texts(batch), lists, strict=True):
+            for (doc, tag, data), places in zip(_texts(batch), batch.column("places").to_pylist(), strict=True):
                 if (doc, tag) in done:
                     continue
                 done.add((doc, tag))
                 h, place, first, last = anchors(data)
-                wanted = np.isin(place, np.concatenate([np.frombuffer(p, "<u4") for p in places]))
+                wanted = np.isin(place, np.frombuffer(places, "<u4"))
                 h, place, first, last = h[wanted], place[wanted], first[wanted], last[wanted]
                 # MATCH bytes from the anchor on and SPAN - 1 before it; what no window of
                 # the anchor covers is zero and never looked at.
@@ -336,7 +363,7 @@ def _records(rows: DataFrame, shared: DataFrame) -> DataFrame:
                 n = len(place)
                 parts.append((h, np.full(n, doc), np.full(n, tag), place, place - last, place - first, cover))
                 total += n
-                if total >= 200_000:
+                if total >= RECORDS:
                     yield gathered()
                     total = 0
         if parts:
@@ -351,8 +378,24 @@ def _seed_numbers(cover: np.ndarray) -> np.ndarray:
     return mixed(words[:, 0] ^ mixed(words[:, 1] + np.uint64(1)) ^ mixed(words[:, 2] + np.uint64(2)))
 
 
+def _joined(doc, tag, start, end) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (doc, tag, start, end) in order, with overlapping and touching ones of a document joined."""
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, end = doc[order], tag[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    if not len(doc):
+        return doc, tag, start, end
+    # The numbers of the documents keep their ends apart.
+    other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    far = np.cumsum(other) << 33
+    reach = np.maximum.accumulate(far + end)
+    first = np.flatnonzero(np.concatenate([[True], (far + start)[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], tag[first], start[first], reach[last] - far[last]
+
+
 def _repeats(records: DataFrame) -> DataFrame:
-    """(doc, tag, starts, ends): the runs of bytes of windows that occur before."""
+    """(doc, tag, starts, ends): the runs of bytes of windows that occur before, one row per document."""
+    shards = shards_of(records)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, list] = {k: [] for k in _RECORD}
@@ -406,21 +449,16 @@ def _repeats(records: DataFrame) -> DataFrame:
         start = np.concatenate([place[record] - offset, place[known] - e["high"][known]])
         end = np.concatenate([place[record] - offset, place[known] - e["low"][known]]) + MATCH
         record = np.concatenate([record, known])
-        order = np.lexsort((start, e["tag"][record], e["doc"][record]))
-        doc, tag, start, end = e["doc"][record][order], e["tag"][record][order], start[order], end[order]
-        if not len(doc):
-            return
-        # Windows that overlap or touch are one run; the numbers of documents keep their ends apart.
-        other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
-        far = np.cumsum(other) << 33
-        reach = np.maximum.accumulate(far + end)
-        new = np.concatenate([[True], (far + start)[1:] > reach[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
-        ends = (reach[last] - far[last]).astype("<u4")
-        yield from _per_document(doc[first], tag[first], [start[first].astype("<u4"), ends], ["starts", "ends"])
+        doc, tag, start, end = _joined(e["doc"][record], e["tag"][record], start, end)
+        yield from _by_document(doc, tag, [start, end], _RUN_OF, shards)
 
-    return records.mapInArrow(run, "doc long, tag long, starts binary, ends binary")
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = unpack(batches, _RUN_OF)
+        doc, tag, start, end = _joined(*(e[k] for k in _RUN_OF))
+        yield from _per_document(doc, tag, [start.astype("<u4"), end.astype("<u4")], ["starts", "ends"])
+
+    found = records.mapInArrow(run, schema(list(_RUN_OF))).repartition(shards, "shard")
+    return found.mapInArrow(gathered, "doc long, tag long, starts binary, ends binary")
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>, kept_sha256 string"
@@ -445,45 +483,33 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = _rows(docs, doc_id, text)
     shared = settle(_shared_places(_all_anchors(rows)), "anchors")
     repeats = settle(_repeats(_records(rows, shared)), "repeats")
-    runs = repeats.groupBy("doc", "tag").agg(F.collect_list("starts").alias("s"), F.collect_list("ends").alias("e"))
-    keys = repeats.select("doc", "tag").distinct()
+    runs = repeats.select("doc", "tag", F.col("starts").alias("s"), F.col("ends").alias("e"))
+    keys = repeats.select("doc", "tag")
     if keys.count() <= BROADCAST_KEYS:
         few = F.broadcast(keys)
         with_runs = rows.join(few, ["doc", "tag"], "left_semi").join(runs, ["doc", "tag"])
-        none = F.array().cast("array<binary>")
+        none = F.lit(None).cast("binary")
         without = rows.join(few, ["doc", "tag"], "left_anti").withColumns({"s": none, "e": none})
         together = with_runs.unionByName(without)
     else:
         together = rows.join(runs, ["doc", "tag"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
+        names = [x.split()[0] for x in _RESULT.split(", ")]
+        for batch in (part for whole in batches for part in _slices(whole)):
             out = []
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
             for doc, data, s, e in zip(ids, texts, batch.column("s").to_pylist(), batch.column("e").to_pylist(), strict=True):
-                starts, ends = joined_runs(s or [], e or [])
+                starts, ends = (np.frombuffer(x or b"", "<u4").tolist() for x in (s, e))
                 edges = [0, *[x for run in zip(starts, ends, strict=True) for x in run], len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((doc, len(data), len(data) - len(kept), len(starts), kept, starts, ends, hashlib.sha256(kept).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
-            names = [x.split()[0] for x in _RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return together.select("doc_id", "text", "s", "e").mapInArrow(cut, _RESULT)
 
 
-def joined_runs(starts: list[bytes], ends: list[bytes]) -> tuple[list[int], list[int]]:
-    """Runs from several lists, in order, with overlapping and touching ones joined."""
-    if not starts:
-        return [], []
-    s = np.concatenate([np.frombuffer(x, "<u4") for x in starts]).astype(np.int64)
-    e = np.concatenate([np.frombuffer(x, "<u4") for x in ends]).astype(np.int64)
-    order = np.argsort(s, kind="stable")
-    s, reach = s[order], np.maximum.accumulate(e[order])
-    new = np.flatnonzero(np.concatenate([[True], s[1:] > reach[:-1]]))
-    return s[new].tolist(), reach[np.append(new[1:], len(s)) - 1].tolist()
-
-
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
