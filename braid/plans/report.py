@@ -13,6 +13,7 @@ from braid.operators.ranking import top_k_per_group
 from braid.operators.shares import distribution, linked_gap, with_share
 from braid.plans.resolution import HOME, v_trial_drug
 from braid.plans.semantic import v_endpoints
+from braid.session import settle
 
 
 @dataclass(frozen=True)
@@ -197,6 +198,74 @@ def sections(layer: Layer, scope: Scope) -> dict[str, DataFrame]:
     return out
 
 
+def in_scopes(layer: Layer, scopes: DataFrame) -> DataFrame:
+    """(question, resolved columns): the trials of each scope, for a table of scopes.
+
+    ``scopes``: question, indication, phase, country, drug, drug_resolved, as parsed from
+    keywords; a null restricts nothing. A scope is offered under each pair of indication and
+    phase that it allows, so that trials meet it by equality; country and drug are then
+    equalities with the trial's own countries and matched drugs.
+    """
+    kinds = layer.resolved.select("indication", "phase").distinct()
+    free = lambda c: F.col(f"s_{c}").isNull() | (F.col(f"s_{c}") == F.col(c))
+    named = scopes.select(*[F.col(c).alias(c if c == "question" else f"s_{c}") for c in ("question", "indication", "phase", "country", "drug", "drug_resolved")])
+    # A handful of pairs of two coded columns, so this product is small.
+    offered = named.join(F.broadcast(kinds), free("indication") & free("phase")).drop("s_indication", "s_phase")
+    rows = layer.resolved.join(offered, ["indication", "phase"])
+    sites = layer.countries.select("nct_id", F.col("country").alias("s_country"), F.lit(True).alias("_there")).distinct()
+    rows = rows.join(sites, ["nct_id", "s_country"], "left").filter(F.col("s_country").isNull() | F.col("_there"))
+    words = scopes.filter("drug IS NOT NULL AND NOT drug_resolved").select(F.upper("drug").alias("_up"), F.col("drug").alias("s_drug")).distinct()
+    names = layer.interventions.select("nct_id", F.upper("intervention_name").alias("_name")).distinct()
+    literal = contains_join(names.select("_name").distinct(), "_name", words, "_up").join(names, "_name").select("nct_id", "s_drug")
+    curated = v_trial_drug(layer.interventions, layer.aliases).select("nct_id", F.col("drug").alias("s_drug"))
+    drugs = curated.withColumn("s_drug_resolved", F.lit(True)).union(literal.withColumn("s_drug_resolved", F.lit(False))).distinct()
+    rows = rows.join(drugs.withColumn("_given", F.lit(True)), ["nct_id", "s_drug", "s_drug_resolved"], "left")
+    rows = rows.filter(F.col("s_drug").isNull() | F.col("_given"))
+    return rows.select("question", *layer.resolved.columns)
+
+
+BUNDLE = ("scope", "sponsors", "phase", "status", "geography", "endpoints", "publications")
+
+
+def bundle(layer: Layer, scopes: DataFrame, k: int = 10) -> DataFrame:
+    """(question, section, item, n): every section of every scope's report in long form.
+
+    Sponsors, countries and endpoints are cut to the ``k`` largest. A section without rows
+    stays, as one row without an item.
+    """
+    scopes = settle(scopes, "scopes")
+    # Every section reads these rows, so they are written once.
+    rows = settle(in_scopes(layer, scopes), "scoped")
+    ids = rows.select("question", "nct_id").distinct()
+
+    def counted(section: str, df: DataFrame, item: str, top: int | None = None) -> DataFrame:
+        by = df.groupBy("question", F.col(item).alias("item")).agg(F.count_distinct("nct_id").alias("n"))
+        if top:
+            by = top_k_per_group(by, ["question"], [F.desc("n"), F.col("item")], top).drop("rank")
+        return by.select("question", F.lit(section).alias("section"), "item", "n")
+
+    def listed(section: str, df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+        sums = df.groupBy("question").agg(*[c.alias(n) for n, c in counts.items()])
+        pairs = F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("n")) for n in counts])
+        return sums.select("question", F.lit(section).alias("section"), F.inline(pairs))
+
+    done = rows.filter("status_group = 'Completed'").select("question", "nct_id")
+    linked = done.join(layer.links.select("nct_id", F.lit(1).alias("_paper")).distinct(), "nct_id", "left")
+    primary = v_endpoints(layer.outcomes.filter("outcome_kind = 'PRIMARY'")).select("nct_id", "endpoint_category")
+    parts = [
+        listed("scope", rows, {"trials": F.count(F.lit(1)), "sponsors": F.count_distinct("lead_sponsor"), "with_a_stated_phase": F.count_if("phase_is_stated")}),
+        counted("sponsors", rows, "sponsor_group", k),
+        counted("phase", rows, "phase"),
+        counted("status", rows, "status_group"),
+        counted("geography", ids.join(layer.countries, "nct_id"), "country", k),
+        counted("endpoints", ids.join(primary, "nct_id"), "endpoint_category", k),
+        listed("publications", linked, {"completed": F.count(F.lit(1)), "with_a_linked_paper": F.count("_paper")}),
+    ]
+    found = reduce(DataFrame.unionByName, parts)
+    every = scopes.select("question", F.explode(F.array(*[F.lit(b) for b in BUNDLE])).alias("section"))
+    return every.join(found, ["question", "section"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def section_sizes(parts: dict[str, DataFrame]) -> DataFrame:
     """Rows per section, empty sections included."""
     sized = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("section"), "rows") for name, df in parts.items()]
