@@ -13,8 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Records that a task gathers before it sends them.
-GATHER = 1_000_000
+#: Records that a task gathers before it sends them, and rows whose texts it copies out of a batch at once.
+GATHER = 300_000
+ROWS = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that few texts are held twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def schema(fields: Sequence[str]) -> str:
