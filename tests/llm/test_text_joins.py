@@ -256,6 +256,17 @@ def test_planted_passages_are_found(spark):
             assert not found[d]
 
 
+def test_a_passage_with_one_seed_left_is_grown(spark):
+    dice = random.Random(12)
+    passage = words(dice, 50, 10**5)
+    _, place = passages.seeds(passages.word_hashes(" ".join(passage).encode()))
+    kept = min(place.tolist(), key=lambda p: abs(p - 22))
+    rows = [(d, " ".join(passage[p : p + 6])) for d, p in enumerate(place.tolist()) if p != kept]
+    rows += [(100, " ".join(passage)), (101, " ".join(passage + words(dice, 30, 10**5)))]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(101, 0, 50, 100, 0, 50, 50)]
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     got = passages.shared_passages(odd_docs).collect()
     assert {(r["doc_id"], r["src_doc_id"]) for r in got} == {(10, 9)}
