@@ -267,6 +267,49 @@ def test_a_passage_with_one_seed_left_is_grown(spark):
     assert [tuple(r) for r in got] == [(101, 0, 50, 100, 0, 50, 50)]
 
 
+def test_a_passage_whose_seeds_are_first_in_parts_of_it(spark):
+    dice = random.Random(13)
+    passage = words(dice, 60, 10**5)
+    rows = [(1, passage[:30]), (2, passage[30:]), (3, passage), (4, passage)]
+    rows = [(d, " ".join(words(dice, 20, 10**5) + w + words(dice, 20, 10**5))) for d, w in rows]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(4, 20, 80, 3, 20, 80, 60)}
+
+
+def test_a_chain_of_two_runs_with_a_long_gap_is_two_passages():
+    dice = random.Random(14)
+    runs = [words(dice, 45, 10**5) for _ in range(2)]
+    a, b = (passages.word_hashes(" ".join([*runs[0], *words(dice, 55, 10**5), *runs[1]]).encode()) for _ in range(2))
+    at = np.array([0, 20, 39, 100, 120, 139])
+    assert sorted(passages._aligned(a, b, at, at, 6, 40, 36)) == [(0, 45, 0, 45, 45), (100, 145, 100, 145, 45)]
+
+
+def test_repeated_runs_of_words_are_found(spark):
+    dice = random.Random(15)
+    templates = [words(dice, 150, 10**5) for _ in range(4)]
+    rows = []
+    for d in range(120):
+        text = words(dice, dice.randrange(30), 10**5)
+        for _ in range(3):
+            t = dice.choice(templates)
+            at = dice.randrange(100)
+            text += edited(dice, t[at : at + dice.randrange(20, 120)], dice.choice([0, 0, 0.02])) + words(dice, dice.randrange(40), 10**5)
+        rows.append((d, text))
+    got = passages.shared_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    held = {d: set() for d, _ in rows}
+    for r in got:
+        held[r["doc_id"]].update(range(r["start"], r["end"]))
+    size, seen, runs = passages.LEAST_WORDS + passages.WINDOW - 1, set(), 0
+    for d, w in rows:
+        grams = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        for i, gram in enumerate(grams):
+            if gram in seen:
+                runs += 1
+                assert held[d] >= set(range(i + passages.WINDOW - 1, i + size - passages.WINDOW + 1)), (d, i)
+        seen.update(grams)
+    assert runs > 1000
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     got = passages.shared_passages(odd_docs).collect()
     assert {(r["doc_id"], r["src_doc_id"]) for r in got} == {(10, 9)}
