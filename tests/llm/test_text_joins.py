@@ -49,6 +49,16 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_a_pair_that_is_a_star_and_a_candidate_stays_a_star(spark):
+    hot = [(1, node) for node in range(ngram_join.FEW + 6)]
+    entries = np.array(hot + [(2, 0), (2, 5), (3, 7), (3, 8)])
+    size = np.full(len(entries), np.uint32(100) | ngram_join._INDEXED, "<u4")
+    packed = (0, entries[:, 0].astype("<u8").tobytes(), entries[:, 1].astype("<i8").tobytes(), size.tobytes())
+    rows = spark.createDataFrame([packed], ngram_join.schema(list(ngram_join._ENTRY)))
+    got = sorted(map(tuple, ngram_join._candidates(rows, 75).collect()))
+    assert got == [*((0, node, True) for _, node in hot[1:]), (7, 8, False)]
+
+
 def test_prefix_tree_finds_every_link():
     dice = random.Random(3)
     sets = []
