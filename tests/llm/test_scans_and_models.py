@@ -331,6 +331,19 @@ def test_pieces_round_trip(spark, odd_docs):
             assert r["start"] == 4096 * r["piece"] and r["ids_crc32"] == zlib.crc32(part.tobytes()) and len(part) == r["length"]
 
 
+def test_special_tokens_in_a_text_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["One text<|endoftext|>and the next", "<|startoftext|> a b <|endoftext|>", "in capitals <|ENDOFTEXT|>", "nothing special", ""]
+    rows = packing.tokenized_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path()).collect()
+    want = {}
+    for d, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want[d] = (0, 0, len(ids), zlib.crc32(ids.tobytes()))
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows} == want
+
+
 @pytest.mark.parametrize(("block", "n"), [(4000, 600), (60, 600), (4000, 1)])
 def test_packing_is_near_the_least_number(spark, block, n):
     dice = random.Random(block)
