@@ -277,6 +277,31 @@ def test_mixing_of_odd_rows(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs, labels).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "target", "want"),
+    [
+        ("http://h.org/a/b.html", "page2.html", "http://h.org/a/page2.html"),
+        ("http://h.org/a/b.html", "../x", "http://h.org/x"),
+        ("http://h.org/a/b/", "../../../x/./y/..", "http://h.org/x/"),
+        ("http://h.org/a/b?q=1", "?p=2", "http://h.org/a/b?p=2"),
+        ("http://h.org", "x?u=http://k.org/", "http://h.org/x?u=http://k.org/"),
+        ("http://h.org/a", "/x/../y", "http://h.org/y"),
+        ("http://h.org/a", "https://k.org/z", "https://k.org/z"),
+        ("http://h.org/a", "mailto:x@h.org", None),
+    ],
+)
+def test_targets_of_pages_are_resolved(spark, page, target, want):
+    html = f"<link rel='canonical' href='{target}'>"
+    got = urls.page_links(spark.createDataFrame([(page, html)], "url string, html string")).collect()
+    assert [r["dst"] for r in got] == ([want] if want else [])
+
+
+def test_a_relative_canonical_link_carries_a_decision(spark):
+    rows = [(1, "http://h.org/a/old.html", "<link rel='canonical' href='../en/new'>"), (2, "http://h.org/en/new", "")]
+    got = urls.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), [urls.Rule("block", "h.org", "/en/")]).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "block"}
+
+
 # ---- packing --------------------------------------------------------------------------
 
 
