@@ -13,6 +13,7 @@ from braid.llm.mixing import op2_mixing
 from braid.llm.ngram_join import OP1_SQL, op1_ngram_join
 from braid.llm.packing import op10_packing
 from braid.llm.passages import op4_fuzzy_passages
+from braid.llm.search import OP13_SQL, op13_ranked_search
 from braid.llm.secrets import op8_secret_scan
 from braid.llm.suffixes import op6_substring_dedup
 from braid.llm.urls import OP5_SQL, op5_url_filter
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLES: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op5_url_filter": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op5_url_filter": OP5_SQL, "op13_ranked_search": OP13_SQL}
