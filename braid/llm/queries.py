@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from braid.llm.conversations import OP12_SQL, op12_conversation_repair
 from braid.llm.embeddings import op7_embedding_links
 from braid.llm.fingerprints import op3_fingerprint
 from braid.llm.languages import op9_language
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_ranked_search": op13_ranked_search,
 }
-ORACLES: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op5_url_filter": OP5_SQL, "op13_ranked_search": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op5_url_filter": OP5_SQL, "op12_conversation_repair": OP12_SQL, "op13_ranked_search": OP13_SQL}
