@@ -17,6 +17,7 @@ from braid.llm.passages import op4_fuzzy_passages
 from braid.llm.search import OP13_SQL, op13_ranked_search
 from braid.llm.secrets import op8_secret_scan
 from braid.llm.suffixes import op6_substring_dedup
+from braid.llm.toxicity import op11_toxicity
 from braid.llm.urls import OP5_SQL, op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op11_toxicity": op11_toxicity,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_ranked_search": op13_ranked_search,
 }
