@@ -200,7 +200,7 @@ def _section(name):
 
 _SECTION_SQL = {
     "scope": """FROM scoped SELECT CAST(count(nct_id) AS BIGINT) AS trials, CAST(count(DISTINCT lead_sponsor) AS BIGINT) AS sponsors,
-                CAST(sum(CAST(phase_is_stated AS INTEGER)) AS BIGINT) AS with_a_stated_phase""",
+                count(*) FILTER (WHERE phase_is_stated) AS with_a_stated_phase""",
     "trials": """FROM scoped SELECT nct_id, left(brief_title, 90) AS title, phase, status_group, lead_sponsor, enrollment, start_year
                  QUALIFY row_number() OVER (ORDER BY enrollment DESC NULLS LAST, nct_id) <= 15""",
     "sponsors": """WITH names AS (SELECT sponsor_group, sponsor_type, lead_sponsor, count(*) AS n FROM scoped GROUP BY ALL),
@@ -215,7 +215,7 @@ _SECTION_SQL = {
                     n AS (SELECT endpoint_category, CAST(count(*) AS BIGINT) AS trials FROM own GROUP BY ALL)
                     FROM n SELECT * QUALIFY row_number() OVER (ORDER BY trials DESC, endpoint_category) <= 10""",
     "publications": """WITH done AS (SELECT nct_id, nct_id IN (SELECT nct_id FROM links) AS linked FROM scoped WHERE status_group = 'Completed'),
-                       n AS (SELECT CAST(count(*) AS BIGINT) AS completed_trials, CAST(count_if(linked) AS BIGINT) AS with_a_linked_paper FROM done)
+                       n AS (SELECT CAST(count(*) AS BIGINT) AS completed_trials, count(*) FILTER (WHERE linked) AS with_a_linked_paper FROM done)
                        SELECT *, completed_trials - with_a_linked_paper AS no_linked_paper,
                               round(100.0 * (completed_trials - with_a_linked_paper) / completed_trials, 1) AS pct_missing FROM n""",
 }

@@ -119,6 +119,7 @@ def definitions_applied(layer: Layer, scope: Scope) -> DataFrame:
 
 
 def scope_counts(scoped: DataFrame) -> DataFrame:
+    """Trials, sponsors and trials with a stated phase: one row, all 0 for an empty scope."""
     return scoped.agg(
         F.count(F.lit(1)).alias("trials"),
         F.count_distinct("lead_sponsor").alias("sponsors"),
@@ -169,7 +170,7 @@ GAP = ("completed_trials", "with_a_linked_paper", "no_linked_paper", "pct_missin
 
 
 def publication_linkage(scoped: DataFrame, links: DataFrame) -> DataFrame:
-    """Completed trials in scope with and without a linked paper; one row also for an empty scope."""
+    """Completed trials in scope with and without a linked paper; one row, counts 0 and no share for an empty scope."""
     completed = scoped.filter(F.col("status_group") == "Completed").select("nct_id")
     return linked_gap(completed, links, "nct_id", [], GAP)
 
