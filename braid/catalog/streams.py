@@ -8,7 +8,7 @@ from braid.catalog.base import query, with_ctes
 from braid.catalog.payment_frames import SCORED_CTES, accounts, payments
 from braid.operators import changes as C
 from braid.plans import payments as P
-from braid.session import run_dir, table_version
+from braid.session import read_table, run_dir, settle, table_version
 from braid.streaming import changefeed as S
 
 COLUMNS = (
@@ -78,3 +78,68 @@ def stream_state(spark, sf):
 def stream_stage(spark, sf):
     root, topic = streamed(spark, sf)
     return C.offset_stats(S.staged(spark, root, topic))
+
+
+_RESET = [SCORED_CTES[0].replace("FROM events)", "FROM events WHERE event_type NOT IN ('signup', 'error'))"), *SCORED_CTES[1:]]
+
+
+@query(
+    "reset_rederived",
+    with_ctes(*_RESET)
+    + """SELECT txn_id, account_id, txn_count_24h, amount_sum_24h, is_new_device_30d, is_new_country_30d, fraud_score, decision,
+         decision <> 'APPROVE' AS has_alert, account_id IS NOT NULL AS in_audit FROM scored""",
+)
+def reset_rederived(spark, sf):
+    """The stream without the payments that a reset took back: features, scores, alerts and the audit trail."""
+    root = run_dir(spark, "reset")
+    rows = _records(spark, sf)
+    topic = S.Topic("payments", "txn_id", COLUMNS, path=f"{root}/topic")
+    rows.repartition(4, C.PARTITION).write.json(topic.path)
+    S.run_payments(spark, root, topic, accounts(spark, sf), P.DEMO_MODEL)
+    S.scores(spark, root, topic).select("txn_id", F.lit("scored").alias("action")).write.parquet(f"{root}/audit")
+    S.reset(spark, root, topic, "reference_id", "ERROR-", accounts(spark, sf), P.DEMO_MODEL)
+    scored = S.scores(spark, root, topic)
+    layers = C.prune_layers(S.current(spark, root, topic), {"audit": spark.read.parquet(f"{root}/audit")}, "txn_id")
+    alerted = S.alerts(spark, root, topic).select("txn_id", F.lit(True).alias("has_alert"))
+    trail = layers["audit"].select("txn_id", F.lit(True).alias("in_audit"))
+    told = scored.join(alerted, "txn_id", "left").join(trail, "txn_id", "full")
+    return told.select(
+        "txn_id", "account_id", "txn_count_24h", F.col("amount_sum_24h").cast("double").alias("amount_sum_24h"), "is_new_device_30d", "is_new_country_30d",
+        "fraud_score", "decision", F.coalesce("has_alert", F.lit(False)).alias("has_alert"), F.coalesce("in_audit", F.lit(False)).alias("in_audit"),
+    )
+
+
+@query(
+    "synced_topics",
+    """SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS orders, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS total
+       FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_custkey = c_custkey GROUP BY c_custkey""",
+)
+def synced_topics(spark, sf):
+    """Customers and orders as two topics, joined as of one cut, while later orders arrive and a batch is replayed."""
+    root = run_dir(spark, "synced")
+
+    def records(rows, key):
+        return rows.select(
+            "*", F.lit("c").alias(C.OP), F.lit("false").alias(C.DELETED), F.lit("2024-01-01T00:00:00Z").alias("kafka_ts"),
+            F.pmod(F.col(key), F.lit(4)).cast("int").alias(C.PARTITION), F.col(key).cast("long").alias(C.OFFSET),
+        )
+
+    orders = records(read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), "o_orderstatus"), "o_orderkey")
+    people = records(read_table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    topics = [
+        S.Topic("orders", "o_orderkey", "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DECIMAL(18,2), o_orderstatus STRING", path=f"{root}/orders", buckets=8),
+        S.Topic("customer", "c_custkey", "c_custkey BIGINT", path=f"{root}/customer", buckets=8),
+    ]
+    S.produce(orders.filter("o_orderstatus <> 'P'"), topics[0])
+    S.produce(people, topics[1])
+    S.sync(spark, root, topics)
+    number = S.cut(spark, root, topics)
+    S.produce(orders.filter("o_orderstatus = 'P'"), topics[0])
+    S.run_merge(spark, root, topics[0])
+    replayed = settle(S.staged(spark, root, topics[0]).drop("staged_at").filter("o_orderstatus = 'P'"), "replayed")
+    S.merge_batch(root, topics[0], replayed, S.reached(spark, root, topics[0]))
+    tables = S.at_cut(spark, root, topics, number)
+    bought = tables["orders"].select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    joined = tables["customer"].select("c_custkey").join(bought, "c_custkey", "left")
+    total = F.coalesce(F.sum("o_totalprice"), F.lit(0)).cast("double")
+    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), total.alias("total"))

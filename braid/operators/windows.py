@@ -118,7 +118,7 @@ def past_features(
     row_id: str,
     windows: list[PastWindow],
     unseen: dict[str, tuple[str, int]] | None = None,
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_rows: int | None = HOT_KEY_ROWS,
     bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Add one column per window and one flag per ``unseen`` entry.
@@ -127,19 +127,23 @@ def past_features(
     occur for the key in ``[t - seconds, t)``. ``value`` must be decimal or
     integral and ``row_id`` unique. The rows are split into ordinary and hot keys
     once; the ordinary ones are shuffled once, by key, for all windows and flags.
+    ``hot_rows`` None says that there are too few rows for a hot key, which halves the plan.
     """
     unseen = unseen or {}
     if windows:
         _check_exact(df, value)
     timed = df.withColumn("_us", micros(ts))
-    cold, hot = split_hot(timed, [key], hot_rows)
+    cold, hot = (timed, None) if hot_rows is None else split_hot(timed, [key], hot_rows)
     if windows:
         cold = _past_cold(cold, key, row_id, value, windows)
-        hot = _past_hot(hot, key, value, row_id, windows, bucket_seconds)
     cold = _unseen(cold, key, unseen, None)
-    hot = _unseen(hot, key, unseen, bucket_seconds)
     wide = {w.name: _total_type(df, value, w) for w in windows}
     out = [*[F.col(c) for c in df.columns], *[F.col(n).cast(t).alias(n) for n, t in wide.items()], *[F.col(f) for f in unseen]]
+    if hot is None:
+        return cold.select(*out)
+    if windows:
+        hot = _past_hot(hot, key, value, row_id, windows, bucket_seconds)
+    hot = _unseen(hot, key, unseen, bucket_seconds)
     return cold.select(*out).unionByName(hot.select(*out))
 
 

@@ -49,7 +49,7 @@ _WINDOWS = [
 _UNSEEN = {"is_new_device_30d": ("device_id", 30 * DAY), "is_new_country_30d": ("country", 30 * DAY)}
 
 
-def _past(payments: DataFrame, windows, unseen, hot_rows: int) -> DataFrame:
+def _past(payments: DataFrame, windows, unseen, hot_rows: int | None) -> DataFrame:
     return past_features(payments, "account_id", "initiated_at", "amount", "txn_id", windows, unseen, hot_rows)
 
 
@@ -68,7 +68,7 @@ def ratio_to_mean(amount: Column, total: Column, n: Column, fallback: float | No
     return amount.cast("double") / F.coalesce(mean, F.lit(fallback).cast("double"))
 
 
-def features(payments: DataFrame, accounts: DataFrame, fallback: float | None = FALLBACK_MEAN, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def features(payments: DataFrame, accounts: DataFrame, fallback: float | None = FALLBACK_MEAN, hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """The feature table: one row per payment whose account is known.
 
     ``payments``: txn_id, account_id, initiated_at, amount (decimal), mcc, device_id, country.

@@ -77,14 +77,9 @@ def test_replay_changes_nothing_and_old_records_do_not_revive_a_key(feed):
     feed.put(record(1, 2, "d"))
     feed.run()
     before = feed.state(), feed.scores()
-    S.compact(feed.spark, feed.root, feed.topic)
-    S.compact_scores(feed.spark, feed.root, feed.topic)
-    assert (feed.state(), feed.scores()) == before
     feed.put(record(1, 0), record(2, 1, minutes=3))
     feed.run()
     assert (feed.state(), feed.scores()) == before
-    S.compact(feed.spark, feed.root, feed.topic)
-    assert feed.state() == before[0]
 
 
 def test_random_stream_equals_one_batch(feed):
@@ -140,23 +135,106 @@ def test_live_feed_hides_deletes_and_what_they_removed(spark):
     assert got == [(4, "x"), (3, "UPDATE"), (2, "SNAPSHOT")]
 
 
-def test_a_batch_that_arrives_during_compaction_is_not_lost(feed, monkeypatch):
-    feed.put(record(1, 1), record(2, 2))
+def written(table, spark):
+    """Bucket numbers by the batch that holds them."""
+    return dict(table.heads(spark))
+
+
+def test_a_batch_on_one_key_rewrites_one_bucket(feed):
+    feed.put(*[record(i, i, minutes=i, account=1 + i % 40) for i in range(200)])
+    feed.run()
+    tables = S.state_table(feed.root, feed.topic), S.account_table(feed.root, feed.topic)
+    before = [written(t, feed.spark) for t in tables]
+    assert all(len(b) > 10 for b in before)
+    feed.put(record(7, 900, "u", minutes=7, amount="77.00", account=8))
     feed.run()
-    write = S.refresh
+    for table, old in zip(tables, before, strict=True):
+        now = written(table, feed.spark)
+        assert len([b for b in now if now[b] != old.get(b)]) == 1
+    assert feed.state()[7]["amount"] == Decimal("77.00")
+    assert feed.scores() == feed.batch_scores()
+
 
-    def late(df, root, version):
-        # Another batch is merged while the new base is being written.
-        feed.put(record(3, 3, minutes=5))
+def test_files_read_do_not_grow_with_untouched_accounts(spark, tmp_path):
+    read = []
+    for many in (30, 300):
+        path = tmp_path / str(many)
+        path.mkdir()
+        feed = Feed(spark, path)
+        feed.accounts = spark.createDataFrame([(i, 1) for i in range(many)], "account_id long, home_country long")
+        feed.put(*[record(i, i, minutes=i, account=i % many) for i in range(2 * many)])
         feed.run()
-        write(df, root, version)
-
-    monkeypatch.setattr(S, "refresh", late)
-    S.compact(feed.spark, feed.root, feed.topic)
-    assert sorted(feed.state()) == [1, 2, 3]
-    monkeypatch.setattr(S, "refresh", write)
-    S.compact(feed.spark, feed.root, feed.topic)
-    assert sorted(feed.state()) == [1, 2, 3]
+        feed.put(record(3, 5000, "u", minutes=3, amount="1.00", account=3))
+        feed.run()
+        keys = spark.createDataFrame([(3,)], "txn_id long")
+        read.append(len(S.refresh_scores(spark, feed.root, feed.topic, keys, feed.accounts, P.DEMO_MODEL, 1)))
+    assert read == [1, 1]
+
+
+def test_a_payment_that_moves_to_another_account(feed):
+    feed.put(record(1, 0), record(2, 1, minutes=5), record(3, 2, minutes=9, account=2), record(4, 3, minutes=12))
+    feed.run()
+    feed.put(record(2, 4, "u", minutes=5, account=2))
+    feed.run()
+    assert {t: (r["account_id"], r["txn_count_1h"]) for t, r in feed.scores().items()} == {1: (1, 0), 2: (2, 0), 3: (2, 1), 4: (1, 1)}
+    assert feed.scores() == feed.batch_scores()
+
+
+def test_a_batch_that_dies_between_buckets_is_not_seen_and_can_be_run_again(feed, monkeypatch):
+    feed.put(*[record(i, i, minutes=i) for i in range(20)])
+    feed.run()
+    before = feed.state(), feed.scores()
+    feed.put(*[record(i, 100 + i, "u", minutes=i, amount="5.00") for i in range(20)])
+    publish = S.Buckets.publish
+
+    def dies(self, spark, batch, numbers):
+        # Some buckets are there, one is not, and the heads are not written.
+        S.shared.remove(spark, f"{self.root}/data/{batch}/bucket={numbers[0]}")
+        raise RuntimeError("lost")
+
+    for broken in ("state", "accounts"):
+        monkeypatch.setattr(S.Buckets, "publish", lambda self, *a, b=broken: (dies if f"/{b}/" in self.root else publish)(self, *a))
+        with pytest.raises(Exception, match="lost"):
+            feed.run()
+        assert feed.scores() == before[1]
+    monkeypatch.setattr(S.Buckets, "publish", publish)
+    feed.run()
+    assert {r["amount"] for r in feed.state().values()} == {Decimal("5.00")}
+    assert feed.scores() == feed.batch_scores() != before[1]
+
+
+def test_old_folders_are_removed_and_kept_heads_stay_readable(feed):
+    for n in range(7):
+        feed.put(record(1, n, "u", amount=f"{n}.00"))
+    feed.run()
+    table = S.state_table(feed.root, feed.topic)
+    assert table.batches(feed.spark) == [4, 5, 6]
+    amounts = [table.read(feed.spark, before=b + 1).first()["amount"] for b in (4, 5, 6)]
+    assert amounts == sorted(amounts) and amounts[-1] == 6
+    held = [d for v in S.shared.names(feed.spark, f"{table.root}/data") for d in S.shared.names(feed.spark, f"{table.root}/data/{v}") if d.startswith("bucket")]
+    assert len(held) == 3
+
+
+def test_tables_of_a_cut_show_one_moment(spark, tmp_path):
+    def rows(table, n, at, op="c"):
+        return "\n".join(json.dumps({"id": i, "v": f"{table}{at}", C.OP: op, C.DELETED: "false", "kafka_ts": "2024-01-01T00:00:00Z", C.PARTITION: 0, C.OFFSET: at + i}) for i in range(n))
+
+    topics, root = [], str(tmp_path / "root")
+    for table in ("alerts", "labels"):
+        path = tmp_path / table
+        path.mkdir()
+        (path / "a.json").write_text(rows(table, 3, 0))
+        topics.append(S.Topic(table, "id", "id BIGINT, v STRING", path=str(path)))
+    S.sync(spark, root, topics)
+    number = S.cut(spark, root, topics)
+    # One topic goes on, and its batch is replayed, while the cut is being read.
+    (tmp_path / "alerts" / "b.json").write_text(rows("alerts", 5, 100))
+    S.run_merge(spark, root, topics[0])
+    seen = S.staged(spark, root, topics[0]).filter(f"{C.OFFSET} >= 100")
+    S.merge_batch(root, topics[0], spark.createDataFrame(seen.drop("staged_at").collect(), seen.drop("staged_at").schema), 1)
+    tables = S.at_cut(spark, root, topics, number)
+    assert {n: sorted((r["id"], r["v"]) for r in t.collect()) for n, t in tables.items()} == {n: [(i, f"{n}0") for i in range(3)] for n in ("alerts", "labels")}
+    assert sorted(r["v"] for r in S.sync(spark, root, topics)["alerts"].collect()) == ["alerts100"] * 5
 
 
 def test_an_unfinished_version_is_not_read(spark, tmp_path):
