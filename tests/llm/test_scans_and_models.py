@@ -467,3 +467,13 @@ def test_stages_take_odd_rows(spark, odd_docs, small_corpus):
 
 def test_digest_of_no_secret():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_every_language_is_learned(spark):
+    from braid.llm import languages
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{letters[i % 26]}{letters[i // 26 % 26]}{letters[(i * 7) % 26]} " * 5, f"l{i % 230:03d}") for i in range(920)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r["lang"] for r in docs.filter(~languages.held_out(docs.doc_id)).select("lang").distinct().collect()}
+    assert len(learned) > 200 and set(languages.train(docs).languages) == learned
