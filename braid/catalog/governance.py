@@ -63,6 +63,18 @@ def entitled_customers(spark, sf):
     return rows.select("account_id", "c_name", "c_acctbal", "business_unit")
 
 
+@query(
+    "entitled_session",
+    with_ctes(ACCOUNTS, _UNITS)
+    + "SELECT account_id, c_name, business_unit FROM accounts JOIN units USING (account_id) WHERE business_unit = 'RETAIL_US'",
+)
+def entitled_session(spark, sf):
+    """What the session's own user may see, by a grant of its own among those of others."""
+    own = spark.range(1).select(F.current_user().alias("db_user"), F.lit("RETAIL_US").alias("business_unit"))
+    grants = entitlements(spark).select("db_user", "business_unit").union(own)
+    return G.entitled(accounts(spark, sf), units(spark, sf), grants).select("account_id", "c_name", "business_unit")
+
+
 @query(
     "entitlement_check",
     with_ctes(PAYMENTS, ACCOUNTS, _UNITS, _GRANTS)

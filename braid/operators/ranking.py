@@ -86,8 +86,10 @@ BINS = 1_024
 def order_statistic(df: DataFrame, column: str, rank: Callable[[int], int]) -> tuple[int, float | None]:
     """(number of non-null values, the exact value at 0-based ``rank(n)``).
 
-    The range of the values is cut into equal bins and only the bin that holds
-    the rank is kept, again and again, until at most ``SORTABLE`` values are left.
+    The range of the values is cut into bins and only the bin that holds the rank is
+    kept, again and again, until at most ``SORTABLE`` values are left. A range over
+    many orders of magnitude is cut by exponents, one within a factor of four into equal
+    parts, so that every round takes about ten bits of a double and seven rounds take all.
     Every round is one pre-aggregated count that returns a single row; its bounds
     are literals, so the next round skips data outside them while reading. A round parts
     the smallest from the greatest value, so the search ends; infinite values are counted
@@ -107,11 +109,9 @@ def order_statistic(df: DataFrame, column: str, rank: Callable[[int], int]) -> t
     values = values.filter(F.abs("v") < top)
     below, left = under, n - under - over
     while lo < hi and left > SORTABLE:
-        # Quarters keep the range of any two finite values finite.
-        width = (hi / 4 - lo / 4) / BINS
-        if width == 0:
+        place = _bin(lo, hi)
+        if place is None:
             break
-        place = F.least(F.floor((F.col("v") / 4 - lo / 4) / width), F.lit(BINS - 1))
         inside = values.filter(F.col("v").between(lo, hi))
         bins = inside.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         lo, hi, below, left = _holding_rank(bins, "b", below, k).select("lo", "hi", F.col("upto") - F.col("n"), "n").first()
@@ -121,6 +121,22 @@ def order_statistic(df: DataFrame, column: str, rank: Callable[[int], int]) -> t
     return n, lo
 
 
+def _magnitude(v: Column) -> Column:
+    """Grows with a value, by its exponent: a double's least magnitude is at 1, and 0 at 0."""
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1075))
+
+
+def _bin(lo: float, hi: float) -> Column | None:
+    """The bin of ``v``, in the order of the values; None where the range can't be cut."""
+    v = F.col("v")
+    if lo > 0 and hi / 4 <= lo or hi < 0 and lo / 4 >= hi:
+        width = (hi - lo) / BINS
+        return None if width == 0 else F.least(F.floor((v - lo) / width), F.lit(BINS - 1))
+    low, high = (math.copysign(math.log2(abs(x)) + 1075, x) if x else 0.0 for x in (lo, hi))
+    at = F.floor((_magnitude(v) - low) / ((high - low) / BINS))
+    return F.greatest(F.lit(0), F.least(at, F.lit(BINS - 1)))
+
+
 def _holding_rank(counts: DataFrame, order: str, below: int, k: int) -> DataFrame:
     """The row of a bounded count table whose running total reaches rank ``k``."""
     running = F.sum("n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0))

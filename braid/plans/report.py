@@ -225,13 +225,42 @@ def in_scopes(layer: Layer, scopes: DataFrame) -> DataFrame:
     return rows.select("question", *layer.resolved.columns)
 
 
-BUNDLE = ("scope", "sponsors", "phase", "status", "geography", "endpoints", "publications")
+BUNDLE = ("definitions", "scope", "trials", "sponsors", "phase", "status", "geography", "endpoints", "publications")
 
 
-def bundle(layer: Layer, scopes: DataFrame, k: int = 10) -> DataFrame:
+def _definitions(layer: Layer, scopes: DataFrame, rows: DataFrame) -> DataFrame:
+    """For every scope each judgement's count as read, and under the other reading.
+
+    A US site includes trials in the US only, and all trials those of a single agent, so these are
+    counted among the scope's own rows; the other reading of a drug that has aliases is its
+    literal name, for which the scopes are resolved once more.
+    """
+    other = in_scopes(layer, scopes.filter("drug IS NOT NULL AND drug_resolved").withColumn("drug_resolved", F.lit(False)))
+    named = other.groupBy("question").agg(F.count("*").alias("named"))
+    counts = rows.groupBy("question").agg(F.count("*").alias("all"), F.count_if("is_monotherapy").alias("single"), F.count_if("us_only").alias("home"))
+    flat = scopes.join(counts, "question", "left").join(named, "question", "left")
+
+    def pair(judgement: str, when: Column, this: str, alternative: str | None) -> Column:
+        shown = [F.struct(F.lit(f"{judgement}: {side}").alias("item"), F.coalesce(F.col(c), F.lit(0)).alias("n")) for side, c in (("this report", this), ("alternative", alternative)) if c]
+        return F.when(when, F.array(*shown)).otherwise(F.array().cast("array<struct<item:string,n:bigint>>"))
+
+    drug, home = F.col("drug").isNotNull(), F.coalesce(F.col("country") == HOME, F.lit(False))
+    either = drug | F.col("indication").isNotNull()
+    judged = F.concat(
+        pair("drug identity", drug & F.col("drug_resolved"), "all", "named"),
+        pair("drug identity", drug & ~F.col("drug_resolved"), "all", None),
+        pair("what 'in the US' means", home, "all", "home"),
+        pair("combination therapy", either, "all", "single"),
+        pair("none", ~(either | home), "all", None),
+    )
+    return flat.select("question", F.lit("definitions").alias("section"), F.inline(judged))
+
+
+def bundle(layer: Layer, scopes: DataFrame, k: int = 10, largest: int = 15) -> DataFrame:
     """(question, section, item, n): every section of every scope's report in long form.
 
-    Sponsors, countries and endpoints are cut to the ``k`` largest. A section without rows
+    Sponsors, countries and endpoints are cut to the ``k`` largest, trials to the ``largest``, with
+    their enrolment (0 where it is unknown). Definitions count each reading and its alternative. A section without rows
     stays, as one row without an item.
     """
     scopes = settle(scopes, "scopes")
@@ -253,7 +282,11 @@ def bundle(layer: Layer, scopes: DataFrame, k: int = 10) -> DataFrame:
     done = rows.filter("status_group = 'Completed'").select("question", "nct_id")
     linked = done.join(layer.links.select("nct_id", F.lit(1).alias("_paper")).distinct(), "nct_id", "left")
     primary = v_endpoints(layer.outcomes.filter("outcome_kind = 'PRIMARY'")).select("nct_id", "endpoint_category")
+    biggest = rows.select("question", F.col("nct_id").cast("string").alias("item"), "enrollment", "nct_id")
+    biggest = top_k_per_group(biggest, ["question"], [F.desc_nulls_last("enrollment"), F.col("nct_id")], largest)
     parts = [
+        _definitions(layer, scopes, rows),
+        biggest.select("question", F.lit("trials").alias("section"), "item", F.col("enrollment").cast("long").alias("n")),
         listed("scope", rows, {"trials": F.count(F.lit(1)), "sponsors": F.count_distinct("lead_sponsor"), "with_a_stated_phase": F.count_if("phase_is_stated")}),
         counted("sponsors", rows, "sponsor_group", k),
         counted("phase", rows, "phase"),

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -138,3 +139,23 @@ def test_containment_in_a_long_text_and_quoting(spark):
     pairs = contains_join(texts, "text", phrases, "phrase")
     assert sorted((r["id"], r["phrase"]) for r in pairs.collect()) == [(1, "needle"), (3, r"\E n"), (3, "needle")]
     assert {r["id"] for r in pairs.filter(has_words(F.col("text"), F.col("phrase"))).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("kind", ["all exponents", "around zero", "negative", "close together"])
+def test_an_order_statistic_takes_few_passes(spark, monkeypatch, kind):
+    dice = random.Random(5)
+    make = {
+        "all exponents": lambda: dice.choice([-1, 1]) * math.ldexp(1 + dice.random(), dice.randrange(-1070, 1020)),
+        "around zero": lambda: dice.choice([0.0, -0.0, 5e-324, -5e-324, 1e-300, 1.0, dice.random()]),
+        "negative": lambda: -math.ldexp(1 + dice.random(), dice.randrange(-200, 200)),
+        "close together": lambda: 1.0 + dice.randrange(1 << 20) * 2.0**-52,
+    }[kind]
+    values = [make() for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    monkeypatch.setattr(R, "SORTABLE", 3)
+    passes, plain = [], R._holding_rank
+    monkeypatch.setattr(R, "_holding_rank", lambda *a: passes.append(1) or plain(*a))
+    for k in (0, 1700, 2999):
+        passes.clear()
+        assert R.order_statistic(df, "x", lambda n, k=k: k) == (3000, sorted(values)[k])
+        assert len(passes) <= 7
