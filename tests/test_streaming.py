@@ -206,7 +206,7 @@ def test_a_batch_that_dies_between_buckets_is_not_seen_and_can_be_run_again(feed
 def test_old_folders_are_removed_and_kept_heads_stay_readable(feed):
     for n in range(7):
         feed.put(record(1, n, "u", amount=f"{n}.00"))
-    feed.run()
+    S.run_merge(feed.spark, feed.root, feed.topic)
     table = S.state_table(feed.root, feed.topic)
     assert table.batches(feed.spark) == [4, 5, 6]
     amounts = [table.read(feed.spark, before=b + 1).first()["amount"] for b in (4, 5, 6)]
