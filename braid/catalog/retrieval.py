@@ -8,14 +8,14 @@ from braid.catalog import trial_frames as T
 from braid.catalog.base import query, with_ctes
 from braid.catalog.ingest import CHUNK_CTES, document_chunks
 from braid.functions.text import Analyzer, accent_pairs, spark_stop_words
-from braid.functions.vectors import l2_norm
+from braid.functions.vectors import dot, l2_norm
 from braid.operators.ranking import global_rank
 from braid.operators import shares
 from braid.operators.shares import term_set_diff
 from braid.plans import evaluation as E
 from braid.plans import lsa
 from braid.plans import retrieval as R
-from braid.session import read_table, run_dir, spread, table_version
+from braid.session import read_table, run_dir, settle, spread, table_version
 
 KEY = ["doc_id", "chunk_id"]
 K = 20
@@ -415,15 +415,60 @@ def global_rank_query(spark, sf):
     return ranked.select("o_orderkey", F.col("rank").cast("bigint").alias("rank"))
 
 
+_FITTED: dict[tuple[str, str], lsa.LsaModel] = {}
+
+
+def stored_model(spark, sf):
+    """The decomposition as an artefact beside the index, fitted anew when the documents have changed."""
+    name = (spark.sparkContext.applicationId, table_version(spark, sf, "documents"))
+    if name not in _FITTED:
+        _FITTED[name] = lsa.fit(stored_index(spark, sf), Analyzer())
+    return _FITTED[name]
+
+
 @query("svd_embed")
 def svd_embed(spark, sf):
     """Latent vectors of all documents: norm of each and number of dimensions."""
-    ix = stored_index(spark, sf)
-    model = lsa.fit(ix, Analyzer())
-    out = lsa.embed_documents(ix, model)
+    out = lsa.embed_documents(stored_index(spark, sf), stored_model(spark, sf))
     return out.select("doc_id", F.size("vector").alias("dims"), F.round(l2_norm(F.col("vector")), 4).alias("norm"))
 
 
+@query("artefact_metadata")
+def artefact_metadata(spark, sf):
+    """One row on index and decomposition: chunks, dims, vocabulary, average length, explained variance."""
+    ix, model = stored_index(spark, sf), stored_model(spark, sf)
+    about = R.index_metadata(ix, model.dims, lsa.explained_variance(ix, model))
+    return about.withColumns({c: F.round(c, 6) for c in ("avg_chunk_len", "explained_variance")})
+
+
+# As many terms as dimensions: nothing is cut off, so that products of latent rows are those of the weighted matrix.
+FULL_RANK_TERMS = 48
+
+
+@query(
+    "svd_full_rank",
+    with_ctes(
+        *INDEX,
+        f"""few AS (SELECT v.term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + v.df)) + 1.0 AS idf_smooth
+  FROM vocab v JOIN (SELECT term, sum(tf) AS cf FROM counts GROUP BY 1) c ON c.term = v.term ORDER BY c.cf DESC, v.term LIMIT {FULL_RANK_TERMS})""",
+        "cells AS MATERIALIZED (SELECT doc_id, p.term, (1.0 + ln(tf)) * idf_smooth AS w FROM postings p JOIN few f ON f.term = p.term)",
+        "norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM cells GROUP BY 1)",
+        """dots AS (SELECT a.doc_id, sum(a.w * b.w) AS s FROM cells a JOIN cells b ON b.doc_id = a.doc_id + 1 AND b.term = a.term GROUP BY 1)""",
+    )
+    + """SELECT a.doc_id, round(1.0, 6) AS length, round(coalesce(s, 0) / (a.norm * b.norm), 6) AS next_cosine
+         FROM norms a JOIN norms b ON b.doc_id = a.doc_id + 1 LEFT JOIN dots d ON d.doc_id = a.doc_id""",
+)
+def svd_full_rank(spark, sf):
+    """Each document's latent row against the next document's, where the decomposition keeps every direction."""
+    few = R.build_index(corpus(spark, sf), KEY, "chunk_text", Analyzer(), max_terms=FULL_RANK_TERMS, root=run_dir(spark, "index"))
+    model = lsa.fit(few, Analyzer(), dims=FULL_RANK_TERMS)
+    z = settle(lsa.latent(lsa.weighted(few.postings, model.vocabulary, KEY), model, KEY).select("doc_id", "z"), "latent")
+    follower = z.select((F.col("doc_id") - 1).alias("doc_id"), F.col("z").alias("next"))
+    cosine = dot(F.col("z"), F.col("next")) / (l2_norm(F.col("z")) * l2_norm(F.col("next")))
+    # Adding 0 turns a negative zero into zero.
+    return z.join(follower, "doc_id").select("doc_id", F.round(l2_norm(F.col("z")), 6).alias("length"), (F.round(cosine, 6) + 0.0).alias("next_cosine"))
+
+
 @query(
     "corpus_totals",
     with_ctes(T.TRIALS, T.GEO, T.OUTCOMES, T.CHUNKS, *INDEX)
