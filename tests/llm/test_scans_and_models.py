@@ -133,7 +133,7 @@ def test_embedding_links_equal_brute_force(spark):
     dice = np.random.default_rng(5)
     base = dice.standard_normal((40, 24))
     rows = [b + dice.standard_normal(24) * s for b in base for s in (0, 0.2, 0.35, 0.45, 0.5)]
-    rows += [rows[0]] * 6 + [rows[0] * 3, -rows[0], rows[1] * 1e200, rows[1] * 1e-200]
+    rows += [rows[0]] * 6 + [rows[0] * 3, -rows[0], rows[1] * 1e200, rows[1] * 1e-200, rows[2] * 1e-314, rows[3] * 1e-316]
     got = embeddings.near_vectors(spark.createDataFrame([(i + 10, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>"), slab=40, block=8)
     unit = np.array([r / np.abs(r).max() for r in rows])
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
