@@ -65,6 +65,7 @@ def raw_studies(spark, sf):
 
 
 _LANDED: dict[tuple[str, str], str] = {}
+LANDED_RECORDS = 10_000
 
 
 def studies(spark, sf):
@@ -72,7 +73,8 @@ def studies(spark, sf):
     name = (spark.sparkContext.applicationId, table_version(spark, sf, "documents"))
     if name not in _LANDED:
         root = run_dir(spark, "snapshot")
-        raw_studies(spark, sf).write.text(f"{root}/lines")
+        # A study repeats its document's text five times. A compressed file is read by one task, so files are kept small.
+        raw_studies(spark, sf).write.option("maxRecordsPerFile", LANDED_RECORDS).text(f"{root}/lines", compression="gzip")
         files.write_parquet(registry.read_lines(spark, f"{root}/lines"), f"{root}/studies")
         _LANDED[name] = f"{root}/studies"
     return spark.read.parquet(_LANDED[name])

@@ -316,3 +316,16 @@ def test_whole_word_aliases_are_an_option(spark):
     aliases = resolution.drug_aliases(spark)
     assert resolution.v_trial_drug(names, aliases).count() == 2
     assert [r["nct_id"] for r in resolution.v_trial_drug(names, aliases, whole_words=True).collect()] == [2]
+
+
+def test_landed_lines_are_compressed_and_whole(spark, tmp_path, monkeypatch):
+    from braid.catalog import ingest
+
+    rows = [(i, f"Line {i}. More\nof it, {'x' * i}", "en", "web", 20 + i) for i in range(7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(ingest, "LANDED_RECORDS", 2)
+    monkeypatch.setattr(ingest, "_LANDED", {})
+    assert ingest.studies(spark, str(tmp_path)).count() == 7
+    root = next(iter(ingest._LANDED.values())).removesuffix("/studies")
+    files = spark.read.format("binaryFile").load(f"{root}/lines").select("path").collect()
+    assert len(files) >= 4 and all(f["path"].endswith(".txt.gz") for f in files)
