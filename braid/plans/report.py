@@ -264,6 +264,8 @@ def bundle(layer: Layer, scopes: DataFrame, k: int = 10, largest: int = 15) -> D
     stays, as one row without an item.
     """
     scopes = settle(scopes, "scopes")
+    # Scopes and their other readings meet these relations, so they are written once.
+    layer = replace(layer, resolved=settle(layer.resolved, "resolved"), countries=settle(layer.countries, "countries"))
     # Every section reads these rows, so they are written once.
     rows = settle(in_scopes(layer, scopes), "scoped")
     ids = rows.select("question", "nct_id").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from braid.functions import scalars as S
 from braid.functions.chunks import chunk_rows
 from braid.plans import boards, report, resolution, semantic
+from braid.session import read_table
 from braid.sources import articles, files, registry
 
 
@@ -329,3 +330,11 @@ def test_landed_lines_are_compressed_and_whole(spark, tmp_path, monkeypatch):
     root = next(iter(ingest._LANDED.values())).removesuffix("/studies")
     files = spark.read.format("binaryFile").load(f"{root}/lines").select("path").collect()
     assert len(files) >= 4 and all(f["path"].endswith(".txt.gz") for f in files)
+
+
+def test_a_table_that_is_small_on_disk_only_is_not_broadcast(spark, tmp_path):
+    spark.range(400_000).selectExpr("id AS k", "id % 7 AS v").coalesce(1).write.parquet(f"{tmp_path}/few.parquet")
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file()) < 10 << 20
+    held = read_table(spark, str(tmp_path), "few")
+    size = held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(size.toString()) > 400_000 * 16
