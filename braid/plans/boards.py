@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from braid.functions import scalars as S
 from braid.operators.ranking import quantile_cont
 from braid.plans.semantic import n_distinct, n_regions, v_geography
+from braid.session import settle
 
 
 def v_burden(chunks: DataFrame) -> DataFrame:
@@ -22,8 +23,10 @@ def v_burden(chunks: DataFrame) -> DataFrame:
 
 def v_enrol(trials: DataFrame, q: float = 0.99) -> DataFrame:
     """Enrolment capped at its exact quantile, the raw value beside it."""
-    limit = F.lit(quantile_cont(trials, "enrollment", q)).cast("double")
-    return trials.select(
+    # The passes of the quantile read written values, not the joins behind them.
+    held = settle(trials.select("nct_id", "enrollment"), "enrol")
+    limit = F.lit(quantile_cont(held, "enrollment", q)).cast("double")
+    return held.select(
         "nct_id",
         F.col("enrollment").alias("enrollment_raw"),
         S.cap_at(F.col("enrollment").cast("double"), limit).alias("enrollment"),

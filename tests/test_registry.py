@@ -337,4 +337,14 @@ def test_a_table_that_is_small_on_disk_only_is_not_broadcast(spark, tmp_path):
     assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file()) < 10 << 20
     held = read_table(spark, str(tmp_path), "few")
     size = held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    assert int(size.toString()) > 400_000 * 16
+    assert size > 400_000 * 16
+
+
+def test_the_cap_of_enrolment_reads_written_values(spark, monkeypatch):
+    trials = spark.createDataFrame([(i, i * 10) for i in range(200)], "nct_id int, enrollment long").join(spark.range(150), F.col("nct_id") == F.col("id"))
+    read = []
+    whole = boards.quantile_cont
+    monkeypatch.setattr(boards, "quantile_cont", lambda df, *a: read.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df, *a))
+    rows = {r["nct_id"]: r for r in boards.v_enrol(trials).collect()}
+    assert len(rows) == 150 and rows[149]["enrollment"] == pytest.approx(1475.1) and rows[149]["enrollment_raw"] == 1490
+    assert "Join" not in read[0]
