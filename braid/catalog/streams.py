@@ -29,6 +29,15 @@ def _records(spark, sf):
     return insert.unionByName(wrong).unionByName(delete)
 
 
+# Files that each partition of the topic is written to.
+SLICES = 16
+
+
+def _written(records, path):
+    """Files by partition of the topic: records of one key lie in one file and arrive in any order."""
+    records.repartition(4 * SLICES, C.PARTITION, F.pmod(F.xxhash64("txn_id"), F.lit(SLICES))).write.json(path)
+
+
 _DONE: dict[tuple[str, str], tuple[str, S.Topic]] = {}
 
 
@@ -37,9 +46,9 @@ def streamed(spark, sf):
     name = (spark.sparkContext.applicationId, table_version(spark, sf, "events", "customer"))
     if name not in _DONE:
         root = run_dir(spark, "stream")
-        # Files by partition of the topic: records of one key arrive in any order.
-        _records(spark, sf).repartition(4, C.PARTITION).write.json(f"{root}/topic")
-        topic = S.Topic("payments", "txn_id", COLUMNS, path=f"{root}/topic", options={"maxFilesPerTrigger": "2"})
+        _written(_records(spark, sf), f"{root}/topic")
+        # Two of four partitions' files at once.
+        topic = S.Topic("payments", "txn_id", COLUMNS, path=f"{root}/topic", options={"maxFilesPerTrigger": str(2 * SLICES)})
         S.run_payments(spark, root, topic, accounts(spark, sf), P.DEMO_MODEL)
         _DONE[name] = (root, topic)
     return _DONE[name]
@@ -94,7 +103,7 @@ def reset_rederived(spark, sf):
     root = run_dir(spark, "reset")
     rows = _records(spark, sf)
     topic = S.Topic("payments", "txn_id", COLUMNS, path=f"{root}/topic")
-    rows.repartition(4, C.PARTITION).write.json(topic.path)
+    _written(rows, topic.path)
     S.run_payments(spark, root, topic, accounts(spark, sf), P.DEMO_MODEL)
     S.scores(spark, root, topic).select("txn_id", F.lit("scored").alias("action")).write.parquet(f"{root}/audit")
     S.reset(spark, root, topic, "reference_id", "ERROR-", accounts(spark, sf), P.DEMO_MODEL)

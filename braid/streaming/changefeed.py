@@ -119,10 +119,12 @@ def _moves(root: str, topic: Topic, keys: DataFrame, batch_id: int) -> DataFrame
     spark = keys.sparkSession
     table = state_table(root, topic)
     numbers = table.touched(keys)
-    after = table.read(spark, numbers, before=batch_id + 1).join(keys, topic.key, "left_semi").withColumn("_after", F.lit(True))
+    now = table.read(spark, numbers, before=batch_id + 1)
     held = table.read(spark, numbers, before=batch_id)
     if held is None:
-        return after
+        # The buckets hold nothing but the batch.
+        return now.withColumn("_after", F.lit(True))
+    after = now.join(keys, topic.key, "left_semi").withColumn("_after", F.lit(True))
     before = held.join(keys, topic.key, "left_semi").withColumn("_after", F.lit(False))
     both = before.unionByName(after)
     changed = both.groupBy(topic.key).agg(F.min(C.OFFSET).alias("_low"), F.max(C.OFFSET).alias("_high"), F.count("*").alias("_n"))

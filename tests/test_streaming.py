@@ -245,3 +245,13 @@ def test_an_unfinished_version_is_not_read(spark, tmp_path):
     assert [r["x"] for r in files.current(spark, root).collect()] == [1]
     with pytest.raises(ValueError):
         files.current(spark, str(tmp_path / "none"))
+
+
+def test_a_partition_of_the_topic_is_written_by_several_tasks(spark, tmp_path):
+    from braid.catalog import streams
+
+    rows = spark.range(2_000).select(F.col("id").alias("txn_id"), F.lit(1).alias(C.PARTITION)).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    streams._written(rows, f"{tmp_path}/topic")
+    found = spark.read.json(f"{tmp_path}/topic").select("txn_id", F.input_file_name().alias("at"))
+    assert found.count() == 4_000 and found.select("at").distinct().count() > 8
+    assert found.groupBy("txn_id").agg(F.count_distinct("at").alias("files")).filter("files > 1").isEmpty()
