@@ -35,7 +35,7 @@ SLICES = 16
 
 def _written(records, path):
     """Files by partition of the topic: records of one key lie in one file and arrive in any order."""
-    records.repartition(4 * SLICES, C.PARTITION, F.pmod(F.xxhash64("txn_id"), F.lit(SLICES))).write.json(path)
+    records.repartition(4 * SLICES, C.PARTITION, F.pmod(F.xxhash64("txn_id"), F.lit(SLICES))).write.json(path, compression="gzip")
 
 
 _DONE: dict[tuple[str, str], tuple[str, S.Topic]] = {}
