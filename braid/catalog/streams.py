@@ -47,7 +47,7 @@ def streamed(spark, sf):
     if name not in _DONE:
         root = run_dir(spark, "stream")
         _written(_records(spark, sf), f"{root}/topic")
-        # Two of four partitions' files at once.
+        # Half of the files at once, of any partition.
         topic = S.Topic("payments", "txn_id", COLUMNS, path=f"{root}/topic", options={"maxFilesPerTrigger": str(2 * SLICES)})
         S.run_payments(spark, root, topic, accounts(spark, sf), P.DEMO_MODEL)
         _DONE[name] = (root, topic)
