@@ -286,6 +286,33 @@ def test_a_passage_whose_seeds_are_first_in_parts_of_it(spark):
     assert {tuple(r) for r in got} == {(4, 20, 80, 3, 20, 80, 60)}
 
 
+def sampled(dice, seed, before, after):
+    """A text in which the words `seed` are a sampled seed, with drawn words around them."""
+    name = passages.shingles(passages.word_hashes(" ".join(seed).encode()), passages.K)[0]
+    for _ in range(1000):
+        text = [*before(dice), *seed, *after(dice)]
+        if name in passages.seeds(passages.word_hashes(" ".join(text).encode()))[0]:
+            return text
+
+
+def test_a_passage_between_others_of_the_same_seed_is_found(spark):
+    dice = random.Random(17)
+    while True:
+        seed, left, right = (words(dice, n, 10**5) for n in (6, 24, 24))
+        if 24 in passages.seeds(passages.word_hashes(" ".join([*left, *seed, *right]).encode()))[1]:
+            break
+    drawn = lambda n: lambda dice: words(dice, n, 10**5)
+    # Every sixth word differs, so that no other seed, next seed or run of words is shared.
+    changed = lambda text: lambda dice: [w if i % 6 else f"{w}x{dice.randrange(10**6)}" for i, w in enumerate(text)]
+    before = lambda dice: changed(left[::-1])(dice)[::-1]
+    rows = [sampled(dice, seed, drawn(40), drawn(40)) for _ in range(9)]
+    rows[4] = sampled(dice, seed, lambda dice: left, lambda dice: right)
+    rows.append(sampled(dice, seed, before, changed(right)))
+    got = passages.shared_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["src_doc_id"]) for r in got] == [(9, 4)]
+    assert got[0]["end"] - got[0]["start"] >= 50
+
+
 def test_a_chain_of_two_runs_with_a_long_gap_is_two_passages():
     dice = random.Random(14)
     runs = [words(dice, 45, 10**5) for _ in range(2)]
