@@ -347,6 +347,35 @@ def test_repeated_runs_of_words_are_found(spark):
     assert runs > 1000
 
 
+def test_a_repeated_word_has_few_seeds_in_every_window():
+    dice = random.Random(18)
+    for _ in range(50):
+        text = [w for _ in range(20) for w in words(dice, 1, 5) * dice.choice([1, 3, 40, 100])]
+        hashes = passages.word_hashes(" ".join(text).encode())
+        grams = passages.shingles(hashes, passages.K)
+        held = dict(zip(*(c.tolist() for c in passages.seeds(hashes)[::-1]), strict=True))
+        for i in range(len(grams) - passages.WINDOW + 1):
+            low = int(grams[i : i + passages.WINDOW].min())
+            assert any(held.get(p) == low for p in range(i, i + passages.WINDOW)), i
+    _, place = passages.seeds(passages.word_hashes(b"the " * 200))
+    assert len(place) <= 20 and place[0] == 0 and place[-1] >= 182
+
+
+def test_texts_of_repeated_words_share_them(spark):
+    rows = [(1, "the " * 60 + "end"), (2, "so " + "the " * 200)]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {p for r in got for p in range(r["start"], r["end"])} >= set(range(2, 200))
+
+
+def test_a_line_of_many_texts_makes_no_matches(spark):
+    dice = random.Random(19)
+    line = words(dice, 13, 10**5)
+    rows = [(d, " ".join([*words(dice, 30, 10**6), *line, *words(dice, 30, 10**6)])) for d in range(40)]
+    found = passages._all_seeds(passages._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"), 6, 12, 40, 60)
+    assert passages.unpack(iter(found.select("hash").toArrow().to_batches()), {"hash": "<u8"})["hash"].size > 20
+    assert passages._matches(found, 6, 40).count() == 0
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     got = passages.shared_passages(odd_docs).collect()
     assert {(r["doc_id"], r["src_doc_id"]) for r in got} == {(10, 9)}
