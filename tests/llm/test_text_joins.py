@@ -109,6 +109,27 @@ def test_ngram_join_of_a_large_group_of_copies(spark):
     check_join(spark, rows)
 
 
+def test_shards_have_a_task_each(spark):
+    dice = random.Random(20)
+    rows = [(" ".join(words(dice, 80)),) for _ in range(200)]
+    entries = ngram_join._entries(spark.createDataFrame(rows, "text string"), np.zeros(0, np.uint64), 5, 75)
+    dealt = entries.selectExpr("shard", "spark_partition_id() AS task").distinct().collect()
+    assert len(dealt) == len({r["task"] for r in dealt}) == ngram_join.shards_of(entries)
+
+
+def test_stages_hand_few_texts_to_python_at_once(spark):
+    import corpus_pipeline
+
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        corpus_pipeline._plain(docs)
+        sizes = docs.mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sum(r["n"] for r in sizes) == 3000 and max(r["n"] for r in sizes) <= 1000
+
+
 def test_ngram_join_of_odd_rows(spark, odd_docs, no_docs):
     got = ngram_join.similar_texts(odd_docs)
     assert got.count() == odd_docs.count()
