@@ -388,6 +388,36 @@ def test_texts_of_repeated_words_share_them(spark):
     assert {p for r in got for p in range(r["start"], r["end"])} >= set(range(2, 200))
 
 
+def test_every_two_documents_with_a_passage_have_it(spark):
+    dice = random.Random(20)
+    passage = words(dice, 70, 10**5)
+    # A copy of the passage in other words, one with words changed, and a text that three documents have.
+    rows = [words(dice, 30, 10**6) + passage + words(dice, 30, 10**6) for _ in range(6)]
+    rows += [words(dice, 30, 10**6) + edited(dice, passage, 0.03) for _ in range(3)] + [rows[2], rows[2]]
+    got = passages.shared_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["src_doc_id"]) for r in got} == {(d, s) for d in range(len(rows)) for s in range(d)}
+    whole = {(r["doc_id"], r["src_doc_id"]): r for r in got if r["equal"] == len(rows[2])}
+    assert set(whole) == {(9, 2), (10, 2), (10, 9)}
+    assert all((r["start"], r["end"], r["src_start"], r["src_end"]) == (0, 130, 0, 130) for r in whole.values())
+    for r in got:
+        # The words beside the passage are nowhere else.
+        if r["doc_id"] < 6:
+            assert (r["start"], r["end"], r["src_start"], r["src_end"], r["equal"]) == (30, 100, 30, 100, 70)
+
+
+def test_shards_of_passages_change_nothing(spark, monkeypatch):
+    dice = random.Random(21)
+    passage = words(dice, 300, 10**5)
+    rows = [(d, " ".join(words(dice, 20, 10**6) + edited(dice, passage, 0.02))) for d in range(12)]
+    docs = spark.createDataFrame(rows + [(20, rows[3][1])], "doc_id long, text string")
+    whole = sorted(map(tuple, passages.shared_passages(docs).collect()))
+    monkeypatch.setattr(passages, "SEEDS", 20)
+    monkeypatch.setattr(passages, "SHARD_WORDS", 500)
+    found = passages._all_seeds(passages._rows(docs, "doc_id", "text"), 6, 12, 40, 60)
+    assert found.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, passages.shared_passages(docs).collect())) == whole and len(whole) >= 78
+
+
 def test_a_line_of_many_texts_makes_no_matches(spark):
     dice = random.Random(19)
     line = words(dice, 13, 10**5)
