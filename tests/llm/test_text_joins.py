@@ -264,6 +264,20 @@ def test_chains_follow_diagonals_and_part_at_gaps():
     assert got[0].tolist() == [0, 1, 2, 3] or got[0].tolist() == [4, 5]
 
 
+def test_a_large_group_is_not_shipped_in_pairs_of_chunks(spark, monkeypatch):
+    dice = random.Random(22)
+    base, far = words(dice, 200, 10**5), words(dice, 200, 10**5)
+    texts = [edited(dice, base, 0.005) for _ in range(90)] + [far, edited(dice, far, 0.005)]
+    sent, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "_verified", lambda places, *rest: sent.append(places.count()) or verified(places, *rest))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_texts(docs).collect()}
+    assert got == {d: 0 if d < 90 else 90 for d in range(92)}
+    # Not each of 90 sets in each of a dozen chunks.
+    assert 90 <= sum(sent) < 300
+
+
 def test_planted_passages_are_found(spark):
     dice = random.Random(10)
     base = words(dice, 110, 10**5)
