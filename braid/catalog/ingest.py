@@ -177,6 +177,16 @@ def shred_metrics(spark, sf):
     return registry.metrics(studies(spark, sf))
 
 
+# Keys up to which studies meet them without a shuffle of their texts.
+BROADCAST_KEYS = 1_000_000
+
+
+def _labelled(spark, sf, whole):
+    ids = read_table(spark, sf, "labels").select(F.concat(F.lit("NCT"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id")).distinct()
+    few = ids.count() <= BROADCAST_KEYS
+    return whole.join(F.broadcast(ids) if few else ids, registry.study_key() == ids["id"], "left_semi")
+
+
 @query(
     "snapshot_union_first_wins",
     f"""SELECT nct_id, indication FROM (
@@ -185,8 +195,7 @@ def shred_metrics(spark, sf):
 )
 def snapshot_union_first_wins(spark, sf):
     whole = studies(spark, sf)
-    ids = read_table(spark, sf, "labels").select(F.concat(F.lit("NCT"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id"))
-    labelled = whole.join(ids, registry.study_key() == ids["id"], "left_semi")
+    labelled = _labelled(spark, sf, whole)
     union = registry.union_snapshots([("LABELLED", labelled), ("ALL", whole)])
     return union.select(registry.study_key().alias("nct_id"), F.col("_indication").alias("indication"))
 

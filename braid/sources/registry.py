@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from braid.functions import scalars as S
 from braid.functions.chunks import chunk_rows, criteria
-from braid.operators.ranking import first_by_key
+from braid.operators.ranking import top_k_per_group
 
 _PROTOCOL = """STRUCT<
   identificationModule: STRUCT<nctId: STRING, briefTitle: STRING>,
@@ -52,14 +52,15 @@ def union_snapshots(sources: list[tuple[str, DataFrame]], position: str | None =
     """All sources as one, each study tagged with the indication it was fetched for; the first source wins.
 
     Within a source the smallest ``position`` wins, or the smallest content when
-    the source carries no position.
+    the source carries no position. Rows are ranked with the fields alone that are read of the
+    result, so that an unread text is not shuffled.
     """
     tagged = [
         df.withColumn("_indication", F.lit(name)).withColumn("_source", F.lit(i)) for i, (name, df) in enumerate(sources)
     ]
     rows = reduce(DataFrame.unionByName, tagged).withColumn("_key", study_key()).filter("_key is not null")
-    order = ["_source", F.col(position) if position else F.xxhash64(F.to_json("protocolSection"))]
-    return first_by_key(rows, ["_key"], order).drop("_key", "_source")
+    rows = rows.withColumn("_at", F.col(position) if position else F.xxhash64(F.to_json("protocolSection")))
+    return top_k_per_group(rows, ["_key"], [F.col("_source"), F.col("_at")], 1, "_rank").drop("_key", "_source", "_at", "_rank")
 
 
 def clashes(sources: list[tuple[str, DataFrame]]) -> DataFrame:

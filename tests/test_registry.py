@@ -206,6 +206,32 @@ def test_first_snapshot_wins_and_clashes_are_counted(spark, studies):
     assert registry.clashes(sources).first().asDict() == {"trials": 3, "cross_listed_dropped": 1}
 
 
+def test_a_union_ranks_the_fields_that_are_read(studies):
+    union = registry.union_snapshots([("A", studies[0].drop("_indication")), ("B", studies[0].drop("_indication"))])
+    slim = union.select(registry.study_key().alias("nct_id"), F.col("_indication").alias("indication"))
+    assert sorted(map(tuple, slim.collect())) == [("NCT1", "A"), ("NCT2", "A"), ("NCT3", "A")]
+    plan = slim._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Union")].splitlines()
+    assert any("Window" in line for line in above) and not any("protocolSection#" in line for line in above)
+
+
+def test_scopes_meet_a_trial_once_with_its_countries_and_drugs(spark):
+    resolved = spark.createDataFrame([(1, "X", "PHASE1"), (2, "X", "PHASE2"), (3, None, "PHASE1"), (None, "X", "PHASE1")], "nct_id long, indication string, phase string")
+    countries = spark.createDataFrame([(1, "France"), (1, "France"), (1, "Peru"), (2, "Peru"), (3, None)], "nct_id long, country string")
+    interventions = spark.createDataFrame([(1, "Alphamab 5 mg"), (2, "Betamab"), (2, "other alphamab"), (3, None)], "nct_id long, intervention_name string")
+    aliases = spark.createDataFrame([("betamab", "Alphamab", "brand")], "alias string, canonical string, alias_kind string")
+    scopes = spark.createDataFrame(
+        [(0, None, None, None, None, None), (1, "X", None, "Peru", None, None), (2, None, "PHASE1", "France", "alphamab", False), (3, None, None, None, "alphamab", False), (4, "Y", None, None, None, None)],
+        "question int, indication string, phase string, country string, drug string, drug_resolved boolean",
+    )
+    out = report.in_scopes(report.Layer(resolved, countries, interventions, None, aliases), scopes)
+    got = sorted((r["question"], r["nct_id"] or 0) for r in out.collect())
+    assert got == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (3, 1), (3, 2)]
+    # Countries and drugs are met before a trial is repeated for its scopes.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set") >= 2 and "LeftOuter, ((nct_id" not in plan
+
+
 ARTICLES = """<Set>
 <PubmedArticle><MedlineCitation><PMID Version="1">11</PMID><Article><Journal><ISOAbbreviation>J Onc</ISOAbbreviation><JournalIssue><PubDate><Year>2019</Year></PubDate></JournalIssue><Title>Journal of Oncology</Title></Journal>
 <ArticleTitle>Effect of <i>drug</i> X</ArticleTitle><Abstract><AbstractText Label="A">One.</AbstractText><AbstractText>Two.</AbstractText></Abstract>
