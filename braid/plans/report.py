@@ -205,26 +205,34 @@ def in_scopes(layer: Layer, scopes: DataFrame) -> DataFrame:
     ``scopes``: question, indication, phase, country, drug, drug_resolved, as parsed from
     keywords; a null restricts nothing. A scope is offered under each pair of indication and
     phase that it allows, so that trials meet it by equality; country and drug are then
-    equalities with the trial's own countries and matched drugs.
+    looked up among the trial's own countries and matched drugs.
     """
     kinds = layer.resolved.select("indication", "phase").distinct()
     free = lambda c: F.col(f"s_{c}").isNull() | (F.col(f"s_{c}") == F.col(c))
     named = scopes.select(*[F.col(c).alias(c if c == "question" else f"s_{c}") for c in ("question", "indication", "phase", "country", "drug", "drug_resolved")])
     # A handful of pairs of two coded columns, so this product is small.
     offered = named.join(F.broadcast(kinds), free("indication") & free("phase")).drop("s_indication", "s_phase")
-    rows = layer.resolved.join(offered, ["indication", "phase"])
-    sites = layer.countries.select("nct_id", F.col("country").alias("s_country"), F.lit(True).alias("_there")).distinct()
-    rows = rows.join(sites, ["nct_id", "s_country"], "left").filter(F.col("s_country").isNull() | F.col("_there"))
+    places = scopes.select("country").distinct()
+    sites = layer.countries.join(places, "country", "left_semi").groupBy("nct_id").agg(F.collect_set("country").alias("_sites"))
     words = scopes.filter("drug IS NOT NULL AND NOT drug_resolved").select(F.upper("drug").alias("_up"), F.col("drug").alias("s_drug")).distinct()
     names = layer.interventions.select("nct_id", F.upper("intervention_name").alias("_name")).distinct()
     literal = contains_join(names.select("_name").distinct(), "_name", words, "_up").join(names, "_name").select("nct_id", "s_drug")
     curated = v_trial_drug(layer.interventions, layer.aliases).select("nct_id", F.col("drug").alias("s_drug"))
-    drugs = curated.withColumn("s_drug_resolved", F.lit(True)).union(literal.withColumn("s_drug_resolved", F.lit(False))).distinct()
-    rows = rows.join(drugs.withColumn("_given", F.lit(True)), ["nct_id", "s_drug", "s_drug_resolved"], "left")
-    rows = rows.filter(F.col("s_drug").isNull() | F.col("_given"))
+    drugs = curated.withColumn("s_drug_resolved", F.lit(True)).union(literal.withColumn("s_drug_resolved", F.lit(False)))
+    asked = named.select("s_drug", "s_drug_resolved").distinct()
+    given = drugs.join(asked, ["s_drug", "s_drug_resolved"], "left_semi").groupBy("nct_id").agg(F.collect_set(F.struct("s_drug", "s_drug_resolved")).alias("_drugs"))
+    # A trial meets its own countries and drugs before it is offered to scopes, once for all of them.
+    rows = layer.resolved.join(sites, "nct_id", "left").join(given, "nct_id", "left").join(offered, ["indication", "phase"])
+    there = F.exists("_sites", lambda c: c == F.col("s_country"))
+    takes = F.exists("_drugs", lambda d: (d["s_drug"] == F.col("s_drug")) & (d["s_drug_resolved"] == F.col("s_drug_resolved")))
+    rows = rows.filter((F.col("s_country").isNull() | there) & (F.col("s_drug").isNull() | takes))
     return rows.select("question", *layer.resolved.columns)
 
 
+#: Columns of the resolved trials that the sections read.
+_READ = (
+    "nct_id", "indication", "phase", "status_group", "lead_sponsor", "sponsor_group", "enrollment", "phase_is_stated", "is_monotherapy", "us_only",
+)
 BUNDLE = ("definitions", "scope", "trials", "sponsors", "phase", "status", "geography", "endpoints", "publications")
 
 
@@ -265,7 +273,7 @@ def bundle(layer: Layer, scopes: DataFrame, k: int = 10, largest: int = 15) -> D
     """
     scopes = settle(scopes, "scopes")
     # Scopes and their other readings meet these relations, so they are written once.
-    layer = replace(layer, resolved=settle(layer.resolved, "resolved"), countries=settle(layer.countries, "countries"))
+    layer = replace(layer, resolved=settle(layer.resolved.select(*_READ), "resolved"), countries=settle(layer.countries, "countries"))
     # Every section reads these rows, so they are written once.
     rows = settle(in_scopes(layer, scopes), "scoped")
     ids = rows.select("question", "nct_id").distinct()
